@@ -9,8 +9,10 @@ iterative operators stay short.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,7 @@ class Scratch:
     """Tables written once and read many times; stale ones can be dropped early."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.base = spark, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
         _live.append(self)
@@ -100,7 +103,29 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, unless they see it already; once per application."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    inherited = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if context.applicationId in _shipped or (context.master.startswith("local") and os.path.dirname(package) in inherited):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="archivum-"), "archivum.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
