@@ -1,4 +1,4 @@
 """Queries of the registry operators over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from archivum.queries import analysis, relations, scalars  # noqa: F401 - they register their queries
+from archivum.queries.base import ORACLES, QUERIES  # noqa: F401
