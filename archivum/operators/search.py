@@ -79,6 +79,8 @@ def _fuzzy(query: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if b.empty:
+                continue
             yield pd.DataFrame({"canonical_id": b["canonical_id"], "preferred_name": b["preferred_name"], "score": [one(n or "") for n in b["words"]]})
 
     return run

@@ -132,7 +132,8 @@ def _peel(n_cells: int, turn: int):
                     out.append((before, content, bucket, 0, 0, 0, True))
                 else:
                     out.extend((before, content, bucket, k, r, n, False) for k, r, n in got)
-            yield pd.DataFrame(out, columns=["before", "content", "bucket", "kh", "rh", "n", "failed"])
+            if out:
+                yield pd.DataFrame(out, columns=["before", "content", "bucket", "kh", "rh", "n", "failed"])
 
     return run
 
