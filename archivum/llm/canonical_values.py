@@ -220,6 +220,8 @@ def canonical(rows: DataFrame, labels: DataFrame, placeholders: list[str], edits
         for b in batches:
             keep = [v not in book.exact.get(s, ()) for s, v in zip(b["scope"], b["value"])]
             b = b[keep]
+            if b.empty:
+                continue
             yield pd.DataFrame({"source_table": b["source_table"], "row_id": b["row_id"], "reference_id": [book.match(s, v) for s, v in zip(b["scope"], b["value"])]})
 
     typed = rows.where(~is_missing(F.col("value"), placeholders)).select("source_table", "row_id", "scope", "value")

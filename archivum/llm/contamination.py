@@ -178,6 +178,8 @@ def _item_shingles(window: int):
                         continue
                     at = np.arange(lo, hi - SHINGLE + 1)
                     at = at[ok[at]]
+                    if not len(at):
+                        continue
                     yield pd.DataFrame({"item_id": i, "form": int(np.bitwise_xor.reduce(_signed(hashes[at] + at.astype(np.uint64)))), "pos": (at - lo).astype(np.int32), "token": _signed(hashes[at]), "context": [_context(codes, lo, hi, a, window, "\x03") for a in at]})
 
     return run
@@ -214,6 +216,8 @@ def _hits(hashes, window: int):
                 stops = np.concatenate([starts[1:] - 1, [len(codes) - 1]])
                 keep = stops[doc] - starts[doc] >= window
                 at, doc = at[keep], doc[keep]
+                if not len(at):
+                    continue
                 yield pd.DataFrame({"doc_id": pd.Series([ids[d] for d in doc], dtype=b["doc_id"].dtype), "token": _signed(h[at]), "context": [_context(codes, starts[d], stops[d], a, window, "\x02") for a, d in zip(at, doc)]})
 
     return run

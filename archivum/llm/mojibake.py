@@ -264,7 +264,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w, n in words.items():
             for c in contexts(w):
                 total[c] += n
-    yield pd.DataFrame({"context": list(total), "n": list(total.values())})
+    if total:
+        yield pd.DataFrame({"context": list(total), "n": list(total.values())})
 
 
 def context_counts(documents: DataFrame) -> DataFrame:
