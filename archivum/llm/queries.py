@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from archivum.llm import canonical_values, components, contamination, mojibake, packing, survivorship
+from archivum.llm import canonical_values, components, contamination, matching, mojibake, packing, survivorship
 from archivum.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "p3_found": survivorship.p3_found,
     "p3_survivors": survivorship.p3_survivors,
+    "p4_found": matching.p4_found,
+    "p4_matches": matching.p4_matches,
     "p5_found": canonical_values.p5_found,
     "p5_misses": canonical_values.p5_misses,
     "p7_found": components.p7_found,
