@@ -56,7 +56,7 @@ PAIRS = tuple(
 MAX_LAYERS = 6
 #: Bits by which a word's cost has to drop, and the weight of the prior against the counts.
 GAIN_BITS = 6.0
-PRIOR_WEIGHT = 30.0
+PRIOR_WEIGHT = 3000.0
 MAX_CONTEXTS = 200_000
 
 _LATIN = set("éèêëàâäáãåçñóôöòõúùûüíìîïßœæøÿýÉÈÊËÀÂÄÁÃÅÇÑÓÔÖÒÕÚÙÛÜÍÌÎÏŒÆØ")
@@ -149,14 +149,23 @@ def contexts(word: str) -> list[str]:
     return [(_kind(word[i - 1]) if i else " ") + c + (_kind(word[i + 1]) if i + 1 < len(word) else " ") for i, c in enumerate(word) if c > "\x7f"]
 
 
-def _prior(c: str) -> float:
+@lru_cache(maxsize=100_000)
+def _prior(context: str) -> float:
+    """How likely a character is in its context before anything is counted: expected writing in its place, or not."""
+    before, c, after = context
     if c in _INVISIBLE:
         return 1.0
-    if c in EXPECTED:
-        return 1 / 200
-    if unicodedata.category(c) in ("Cc", "Co", "Cn") or c == "�" or "─" <= c <= "▟":
-        return 1e-6
-    return 1e-4
+    if c not in EXPECTED:
+        odd = unicodedata.category(c) in ("Cc", "Co", "Cn") or c == "�" or "─" <= c <= "▟"
+        return 1e-6 if odd else 1e-4
+    if c.isalpha():
+        mixed = "aAlL" if c in _CYRILLIC else "cC"
+        out_of_place = "0" in (before, after) or before in mixed or after in mixed or c.isupper() and before in "alc" or c.islower() and after in "ALC" and before not in "ALC"
+    elif c in "¡¿":
+        out_of_place = after not in "aAlL" or before in "aAlL"
+    else:
+        out_of_place = c not in "’‑·" and before in "aAlLcC" and after in "aAlLcC"
+    return 1e-4 if out_of_place else 1 / 200
 
 
 class CostModel:
@@ -171,7 +180,7 @@ class CostModel:
         c = context[1]
         if c in _INVISIBLE:
             return 0.0
-        p = (self.counts.get(context, 0) + PRIOR_WEIGHT * _prior(c)) / (self.around.get(context[0] + context[2], 0) + PRIOR_WEIGHT)
+        p = (self.counts.get(context, 0) + PRIOR_WEIGHT * _prior(context)) / (self.around.get(context[0] + context[2], 0) + PRIOR_WEIGHT)
         return -math.log2(max(p, 1e-9))
 
     def cost(self, word: str) -> float:
@@ -213,7 +222,8 @@ class Repairer:
         if cost > GAIN_BITS and "�" not in word:
             for meant, wrong in PAIRS:
                 got = word.translate(_translation(meant, wrong))
-                if got != word and all(c in EXPECTED for c in got if c > "\x7f"):
+                # Invisible characters cost nothing, so none may come out of a step.
+                if got != word and all(c in EXPECTED and (c == w or c not in _INVISIBLE) for w, c in zip(word, got) if c > "\x7f"):
                     gain = cost - self.model.cost(got)
                     if gain >= GAIN_BITS:
                         out[meant, wrong] = (gain, got)
