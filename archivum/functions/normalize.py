@@ -53,7 +53,7 @@ def slug(c: Column, length: int = 80) -> Column:
 
 def split_multi(c: Column) -> Column:
     """Values separated by ; , | or line ends; blanks dropped, null as none."""
-    return F.coalesce(F.filter(F.transform(F.split(c, r"[;,|\n]+"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(c, r"[;,|\n]+"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def version_tokens(c: Column) -> Column:
