@@ -287,6 +287,50 @@ def _institution_evidence(name: str, data: bytes) -> Iterator[dict]:
         yield _row(source_record_id=str(r.get("source_record_id") or f"evidence-{n + 1}"), name=f.get("name"), category=f.get("category"), extensions=_list(f.get("extensions")), mime_types=_list(f.get("mime_types")), puids=_list(f.get("puids")), loc_ids=_list(f.get("loc_ids")), native=json.dumps({"evidence": r.get("evidence") or r.get("claims") or []}, sort_keys=True))
 
 
+def _bridge(name: str, data: bytes) -> Iterator[dict]:
+    """Approved bridges between authorities as identity evidence; drafts are no bridges."""
+    try:
+        doc = json.loads(data.decode("utf-8-sig"))
+    except ValueError:
+        return
+    for r in doc.get("rules", []):
+        if str(r.get("review_status", "")).startswith("approved") and r.get("fdd_id") and r.get("puid"):
+            yield _row(source_record_id=r.get("rule_id") or f"{r['fdd_id']}:{r['puid']}", name=r.get("title"), loc_ids=[r["fdd_id"]], puids=[r["puid"]], native=json.dumps(r, sort_keys=True))
+
+
+def _registry_json(name: str, data: bytes) -> Iterator[dict]:
+    """A registry export: a list, an object under ``formats``, or an object by id."""
+    try:
+        doc = json.loads(data.decode("utf-8-sig"))
+    except ValueError:
+        return
+    found = doc.get("formats", doc) if isinstance(doc, dict) else doc
+    for key, f in found.items() if isinstance(found, dict) else ((None, x) for x in found):
+        if not isinstance(f, dict) or not (f.get("canonical_id") or key):
+            continue
+        ids = f.get("identifiers") or {}
+        yield _row(source_record_id=f.get("canonical_id") or key, name=f.get("preferred_name") or f.get("name"), category=f.get("category"), description=f.get("description"), version=f.get("version"), extensions=_list(ids.get("extension")), mime_types=_list(ids.get("mime")), puids=_list(ids.get("puid")), loc_ids=_list(ids.get("loc")), nara_ids=_list(ids.get("nara")), wikidata_ids=_list(ids.get("wikidata")), native=json.dumps(f, sort_keys=True))
+
+
+def _evidence_csv(name: str, data: bytes) -> Iterator[dict]:
+    """One claim a row, nested by format."""
+    by: dict[str, list[dict]] = {}
+    for r in _csv_rows(data):
+        row = {_key(k): (v or "").strip() for k, v in r.items() if k}
+        if title := row.get("formatname") or row.get("name"):
+            by.setdefault(row.get("sourcerecordid") or title, []).append(row)
+    for ident, claims in by.items():
+        first = claims[0]
+        yield _row(source_record_id=ident, name=first.get("formatname") or first.get("name"), category=first.get("category") or None, extensions=_list(first.get("extensions")), mime_types=_list(first.get("mimetypes")), puids=_list(first.get("puids")), native=json.dumps({"evidence": [{"criterion_id": c.get("criterionid"), "value": c.get("value")} for c in claims]}, sort_keys=True))
+
+
+def select_release(releases: DataFrame, pinned: str | None = None, explicit: str | None = None) -> DataFrame:
+    """The release to read, from (release, released_on, path): an explicit one, else the pinned one, else the latest."""
+    wanted = F.when(F.lit(explicit).isNotNull() & (F.col("release") == explicit), 3).when(F.lit(pinned).isNotNull() & (F.col("release") == pinned), 2).otherwise(1)
+    best = releases.agg(F.max_by(F.struct("release", "released_on", "path"), F.struct(wanted.alias("w"), F.col("released_on"), F.col("release"))).alias("r"))
+    return best.where("r is not null").select("r.*")
+
+
 # --- linked-data graph ---------------------------------------------------------------------------------
 
 
@@ -311,13 +355,17 @@ def graph_records(merged: DataFrame, source_id: str) -> DataFrame:
 PARSERS = {
     "pronom_registry": ((".json",), _pronom_json), "pronom_droid_xml": ((".xml",), _droid_xml), "loc_fdd_xml": ((".xml",), _loc_xml(False)), "loc_fdd_xml_reviewed": ((".xml",), _loc_xml(True)), "loc_crosswalk_csv": ((".csv",), _crosswalk),
     "endangered_list": ((".md",), _endangered), "institution_xlsx": ((".xlsx",), _institution_xlsx), "standard_json": ((".json",), _package), "institution_evidence_json": ((".json",), _institution_evidence),
+    "institution_evidence_csv": ((".csv",), _evidence_csv), "approved_bridge_json": ((".json",), _bridge), "registry_json": ((".json",), _registry_json),
 }
+#: Presets and older names.
+ALIASES = {"policy_xlsx": "institution_xlsx", "nara": "nara_digital_preservation_framework"}
 #: Adapters whose rows are stored under another type.
 STORED_AS = {"loc_fdd_xml_reviewed": "loc_fdd_xml"}
 
 
 def read(spark: SparkSession, kind: str, path: str, source_id: str) -> DataFrame:
     """Records of a source: the common schema with source_id, source_type and ``src_ord``, the total input order."""
+    kind = ALIASES.get(kind, kind)
     if ":" in kind:
         module, name = kind.split(":", 1)
         df = getattr(importlib.import_module(module), name)(spark, path, source_id)

@@ -179,3 +179,50 @@ def test_alias_components(spark):
     pairs = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(30)] + [("x", "y"), ("y", None), ("z", "z")], "a string, b string")
     got = {r["node"]: r["component"] for r in graph.alias_components(pairs).collect()}
     assert {got[f"n{k:02d}"] for k in range(31)} == {"n00"} and got["y"] == got["x"] == "x" and len(got) == 33
+
+
+def test_bridges(spark):
+    from archivum.operators import crosswalk
+
+    ids = "value string, canonical_id string, preferred_name string, verified boolean"
+    loc = spark.createDataFrame([("fdd1", "a", "Alpha", True), ("fdd2", "b", "Beta family", True), ("fdd3", "c", "Gamma 1.0", True), ("fdd4", "d", "Delta 1.0", True), ("fdd5", "e", "Eps", False), ("fdd6", "x", "Same", True), ("fdd7", "a7", "Alpha", True)], ids)
+    puid = spark.createDataFrame([("fmt/1", "p1", "Alpha", True), ("fmt/2", "p2", "Gamma 2.0", True), ("fmt/3", "p3", "Delta", True), ("fmt/6", "x", "Same", True)], ids)
+    cand = [("1", "fdd1", "fmt/1"), ("2", "fdd2", "fmt/1"), ("3", "fdd3", "fmt/2"), ("4", "fdd4", "fmt/3"), ("5", "fdd5", "fmt/1"), ("6", "fdd6", "fmt/6"), ("7", "fdd7", "FMT/1"), ("8", "none", "fmt/1"), ("9", "fdd1", "fmt/99")]
+    df = spark.createDataFrame([(r, None, [f], [p]) for r, f, p in cand] + [("10", None, ["fdd1", "fdd2"], ["fmt/1"])], "record_id string, title string, fdd_ids array<string>, puids array<string>")
+    got = crosswalk.verify_bridges(df, loc, puid)
+    assert {r["record_id"]: r["status"] for r in got.collect()} == {
+        "1": "bridge_candidate_authority_confirmed", "2": "broad_scope_review", "3": "version_conflict_review", "4": "version_scope_review", "5": "authority_claim_missing", "6": "already_reconciled_authoritatively",
+        "7": "bridge_candidate_authority_confirmed", "8": "loc_target_missing", "9": "pronom_target_missing", "10": "candidate_shape_invalid",
+    }
+    assert {r["decision"] for r in crosswalk.approve_bridges(got).collect()} == {"many_to_one_scope_review"}
+
+
+def test_greedy_choice_equals_a_walk(spark):
+    import random
+
+    from archivum.operators import crosswalk
+
+    rng = random.Random(4)
+    rows = [(f"f{n:02d}", rng.randrange(50)) for n in range(60)]
+    ids = [(c, f"i{rng.randrange(40)}") for c, _ in rows for _ in range(rng.randrange(4))]
+    kept, seen = set(), set()
+    for c, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        mine = {i for x, i in ids if x == c}
+        if not mine & seen:
+            kept.add(c)
+            seen |= mine
+    got = crosswalk.keep_first_without_shared_ids(spark.createDataFrame(rows, "k string, o int"), spark.createDataFrame(ids, "k string, id string"), "k", ["o"])
+    assert {r[0] for r in got.collect()} == kept
+
+
+def test_gates_and_views(spark):
+    from archivum.operators import audit, lifecycle
+
+    before, now = spark.createDataFrame([(str(n),) for n in range(10)], "k string"), spark.createDataFrame([(str(n),) for n in range(1, 12)], "k string")
+    change = audit.population_change(before, now, "k")
+    assert tuple(change.first()) == (2, 1, 9, 0.3)
+    done = []
+    assert not lifecycle.guarded(audit.drift_gate(change, 100, 0.1), lambda: done.append(1)) and lifecycle.guarded(audit.drift_gate(change, 3, 0.3), lambda: done.append(2)) and done == [2]
+    assert not audit.migration_gate(before, {"a": F.col("k") != "3"}).first()["passed"]
+    one_, two = audit.fingerprint(before, ["k"]).first(), audit.fingerprint(before.orderBy(F.desc("k")).repartition(3), ["k"]).first()
+    assert one_ == two != audit.fingerprint(now, ["k"]).first()

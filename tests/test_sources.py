@@ -146,3 +146,16 @@ def test_requests(spark):
     for bad in ({"action": "odd"}, {"action": "search_formats"}, {"action": "list_evidence_gaps", "limit": 0}, {"action": "list_evidence_gaps", "x": 1}):
         with pytest.raises(RequestError):
             Request.parse(bad)
+
+
+def test_registry_exports_bridges_and_releases(spark, tmp_path):
+    for n, doc in enumerate(([{"canonical_id": "a", "preferred_name": "A", "identifiers": {"puid": ["fmt/1"]}}], {"formats": [{"canonical_id": "b"}]}, {"c": {"name": "C"}})):
+        put(tmp_path, **{f"r{n}__json": json.dumps(doc)})
+    got = rows(adapters.read(spark, "registry_json", str(tmp_path), "r"))
+    assert set(got) == {"a", "b", "c"} and got["a"]["puids"] == ["fmt/1"]
+    (tmp_path / "b").mkdir()
+    path = put(tmp_path / "b", b__json=json.dumps({"rules": [{"fdd_id": "fdd1", "puid": "fmt/1", "review_status": "approved_by_policy"}, {"fdd_id": "fdd2", "puid": "fmt/2", "review_status": "draft"}]}), e__csv="source_record_id,format_name,criterion_id,value\n1,A,c1,x\n1,A,c2,y\n")
+    assert set(rows(adapters.read(spark, "approved_bridge_json", path, "b"))) == {"fdd1:fmt/1"}
+    assert len(json.loads(rows(adapters.read(spark, "institution_evidence_csv", path, "e"))["1"]["native"])["evidence"]) == 2
+    rel = spark.createDataFrame([("v1", "2024-01-01", "p1"), ("v2", "2024-02-01", "p2")], "release string, released_on string, path string")
+    assert [adapters.select_release(rel, *a).first()["path"] for a in ((), ("v1",), ("v1", "v2"), ("v9",))] == ["p2", "p1", "p2", "p2"]
