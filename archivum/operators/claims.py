@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivum.session import Scratch
+
 CLAIM_KEY = ["canonical_id", "criterion_id", "source_id", "source_record_id", "rule_id", "institution_id"]
 
 
@@ -88,8 +90,11 @@ def change_events(before: DataFrame, now: DataFrame, before_refs: DataFrame, now
     columns = "change_type string, canonical_id string, field string, previous string, current string, severity string"
     if baseline:
         return before.sparkSession.createDataFrame([], "change_id string, run_id string, " + columns + ", n bigint")
-    moves, split = transitions(before_refs, now_refs)
-    sides = version_sets(before, now)
+    scratch = Scratch(before.sparkSession, "changes")
+    before, now = scratch.save(before, "before"), scratch.save(now, "now")
+    before_refs, now_refs = scratch.save(before_refs, "before_refs"), scratch.save(now_refs, "now_refs")
+    moves, split = (scratch.save(df, "transitions") for df in transitions(before_refs, now_refs))
+    sides = scratch.save(version_sets(before, now), "sides")
     target = moves.groupBy("new_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("old_id")), ",").alias("old"))
     existed = before.select(F.col("canonical_id").alias("new_id")).distinct().withColumn("was", F.lit(True))
     event = lambda df, kind, cid, field=None, prev=None, cur=None, severity="info": df.select(
@@ -111,6 +116,7 @@ def change_events(before: DataFrame, now: DataFrame, before_refs: DataFrame, now
         parts.append(F.when(was != now_, F.struct(F.when(now_, "divergence_opened").otherwise("divergence_resolved").alias("change_type"), F.lit("divergence").alias("field"), was.cast("string").alias("previous"), now_.cast("string").alias("current"), F.when(now_, "review").otherwise("info").alias("severity"))))
     fields = both.select(F.col("n.canonical_id").alias("canonical_id"), F.explode(F.array_compact(F.array(*parts))).alias("c")).select("c.change_type", "canonical_id", "c.field", "c.previous", "c.current", "c.severity")
     events = moved.unionByName(splits).unionByName(added).unionByName(removed).unionByName(fields)
+    events = scratch.save(events, "events")
     counts = events.groupBy("change_type").agg(F.count("*").alias("n"))
     size = before.select(F.count("*").alias("b")).crossJoin(now.select(F.count("*").alias("c"))).select(F.greatest(F.lit(BULK_COUNT), F.floor(F.greatest("b", "c") * BULK_SHARE)).alias("limit"))
     # Both sides are a handful of counts.

@@ -15,19 +15,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.functions.normalize import STRONG_KINDS, canonical_id, extension, identifier, is_broad, is_verified, version_tokens
+from archivum.session import Scratch
 
 ID_FIELDS = {"extension": "extensions", "mime": "mime_types", "puid": "puids", "loc": "loc_ids", "nara": "nara_ids", "wikidata": "wikidata_ids"}
 
 
 def identifier_claims(records: DataFrame) -> DataFrame:
     """(src_ord, kind, value, verified, pos): one row per logical claim; a verified copy wins over an unverified one."""
-    parts = None
-    for n, (kind, field) in enumerate(ID_FIELDS.items()):
-        if field not in records.columns:
-            continue
-        one = records.select("src_ord", "source_type", F.posexplode(field).alias("p", "v")).select("src_ord", F.lit(kind).alias("kind"), identifier(F.lit(kind), F.col("v")).alias("value"), is_verified(F.lit(kind), F.col("source_type")).alias("verified"), (F.lit(n * 100_000) + F.col("p")).alias("pos"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.where("value is not null and value != ''").groupBy("src_ord", "kind", "value").agg(F.bool_or("verified").alias("verified"), F.min("pos").alias("pos"))
+    def part(n: int, kind: str, field: str):
+        verified = is_verified(F.lit(kind), F.col("source_type"))
+        return F.transform(F.coalesce(F.col(field), F.array().cast("array<string>")), lambda v, p: F.struct(F.lit(kind).alias("kind"), identifier(F.lit(kind), v).alias("value"), verified.alias("verified"), (F.lit(n * 100_000) + p).alias("pos")))
+
+    # All kinds in one pass over the records.
+    every = F.concat(*[part(n, kind, field) for n, (kind, field) in enumerate(ID_FIELDS.items()) if field in records.columns])
+    rows = records.select("src_ord", F.explode(every).alias("c")).select("src_ord", "c.*")
+    return rows.where("value is not null and value != ''").groupBy("src_ord", "kind", "value").agg(F.bool_or("verified").alias("verified"), F.min("pos").alias("pos"))
 
 
 def group_keys(records: DataFrame, claims: DataFrame) -> DataFrame:
@@ -77,11 +79,13 @@ def claimed_aliases(keyed: DataFrame, claims: DataFrame) -> DataFrame:
 
 def reconcile(records: DataFrame) -> DataFrame:
     """(canonical_id, preferred_name, category, n_records, n_sources, source_records, identifiers...) of all identity records."""
+    scratch = Scratch(records.sparkSession, "reconcile")
     base = records.where("record_role is null or record_role != 'evidence_only'")
-    claims = identifier_claims(base)
-    keyed = group_keys(base, claims)
+    # Both are read several times below; written once they are not worked out again.
+    claims = scratch.save(identifier_claims(base), "claims")
+    keyed = scratch.save(group_keys(base, claims).select("src_ord", "source_id", "source_record_id", "name", "category", "g", "g_kind", "g_value", "weak"), "keyed")
     claimed, weak = claimed_aliases(keyed, claims), weak_aliases(keyed, claims)
-    alias = claimed.withColumn("p", F.lit(0)).unionByName(weak.withColumn("p", F.lit(1))).groupBy("g").agg(F.min_by("target", "p").alias("target"))
+    alias = scratch.save(claimed.withColumn("p", F.lit(0)).unionByName(weak.withColumn("p", F.lit(1))).groupBy("g").agg(F.min_by("target", "p").alias("target")), "alias")
     # Exactly one hop: a target's own alias is not followed.
     grouped = keyed.join(alias, "g", "left").withColumn("final", F.coalesce("target", "g"))
     own = F.col("final") == F.col("g")
