@@ -20,7 +20,7 @@ Scale: two scans of the texts, none of which is shuffled; what is moved is the
 items' shingle counts and the hits.  Items are processed in blocks of
 ``BLOCK_CHARS`` normalised characters, so what each task holds is bounded by a
 parameter and not by the number of items.  A token that is frequent in the
-documents is salted in the join.
+documents meets postings that are sent to all tasks, or is split by AQE.
 
 Edge cases (tested): null and empty texts match nothing; an item shorter than
 ``WINDOW`` cannot match; repeated documents are reported under each id; a text
@@ -43,7 +43,6 @@ from archivum.session import Scratch, column, table
 WINDOW = 60
 SHINGLE = 20
 BLOCK_CHARS = 4_000_000
-SALTS = 16
 _END = 1  # stands between texts; no letter or digit has this code
 _MASK_BITS = 22
 
@@ -251,11 +250,11 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_ch
         # Only places that begin a whole window choose a token; one no document holds cannot match.
         prefix = scratch.save(rarest.where((F.col("pos") + window - SHINGLE <= F.col("last")) & (F.col("best.n") > 0)).select("item_id", "best.token", "best.context", "best.n").distinct(), "prefix")
         tokens = spark.sparkContext.broadcast(_tokens(prefix))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        hits = docs.mapInPandas(_hits(tokens, window), f"doc_id {dict(docs.dtypes)['doc_id']}, token bigint, context string").withColumn("salt", salt)
-        posts = prefix.select("item_id", "token", F.col("context").alias("item_context")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = docs.mapInPandas(_hits(tokens, window), f"doc_id {dict(docs.dtypes)['doc_id']}, token bigint, context string")
+        # The postings are as few as the items' windows; if Spark finds them too large to send, AQE splits a frequent token's hits.
+        posts = prefix.select("item_id", "token", F.col("context").alias("item_context"))
         same = F.exists(F.sequence(F.lit(1), F.lit(window - SHINGLE + 1)), lambda k: F.substring("context", k, F.lit(window)) == F.substring("item_context", k, F.lit(window)))
-        pairs = hits.join(posts, ["token", "salt"]).where(same).select("doc_id", "item_id")
+        pairs = hits.join(posts, "token").where(same).select("doc_id", "item_id")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
