@@ -56,14 +56,15 @@ def clean(text: str) -> str:
 
 
 def deletions(s: str, n: int) -> set[str]:
+    """What up to ``n`` deletions leave of a string."""
     out = {s}
-    for k in range(1, min(n, len(s)) + 1):
+    if n >= 1:
+        out.update(s[:i] + s[i + 1 :] for i in range(len(s)))
+    if n >= 2:
+        out.update(s[:i] + s[i + 1 : j] + s[j + 1 :] for i, j in combinations(range(len(s)), 2))
+    for k in range(3, min(n, len(s)) + 1):
         for gone in combinations(range(len(s)), k):
-            kept, at = [], 0
-            for g in gone:
-                kept.append(s[at:g])
-                at = g + 1
-            out.add("".join(kept) + s[at:])
+            out.add("".join(c for i, c in enumerate(s) if i not in gone))
     return out
 
 
@@ -107,7 +108,6 @@ class Dictionary:
         self.forms: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
         self.words: dict[str, list[tuple[str, list[str], str]]] = defaultdict(list)
         self.under: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.span: dict[str, tuple[int, int]] = {}
         for scope, ref, label, n in labels:
             self.exact[scope].add(label)
             words = _WORD.findall(clean(label))
@@ -125,8 +125,14 @@ class Dictionary:
         for scope, listed in self.words.items():
             count = Counter(w for _, words, _ in listed for w in set(words))
             self.own[scope] = [(ref, {w for w in words if count[w] == 1}) for ref, words, _ in listed]
+        #: Lengths that a window may have, and forms that it may equal: (-frequency, reference id).
+        self.lengths: dict[str, set[int]] = {}
+        self.equal: dict[str, dict[str, tuple[int, str]]] = {}
         for scope, forms in self.forms.items():
-            self.span[scope] = (min(len(f[1]) for f in forms) - edits, max(len(f[1]) for f in forms) + edits)
+            self.lengths[scope] = {len(f[1]) + k for f in forms for k in range(-edits, edits + 1)}
+            self.equal[scope] = {}
+            for ref, form, n in forms:
+                self.equal[scope][form] = min(self.equal[scope].get(form, (-n, ref)), (-n, ref))
         self.under = {k: dict(v) for k, v in self.under.items()}
         self.known: dict[tuple[str, str], str] = {}
 
@@ -150,20 +156,27 @@ class Dictionary:
 
     def find(self, scope: str, value: str) -> str:
         """The reference id that a typed value means, or ``NONE``."""
-        if scope not in self.span:
+        if scope not in self.lengths:
             return NONE
         text = clean(value)
         words = [(m.group(), m.end()) for m in _WORD.finditer(text)]
-        short, long = self.span[scope]
-        hits: list[tuple[float, int, str, int, int]] = []
+        lengths, equal, long = self.lengths[scope], self.equal[scope], max(self.lengths[scope])
+        windows, hits = [], []
         for i in range(len(words)):
             joined = ""
             for j in range(i, len(words)):
                 joined += words[j][0]
                 if len(joined) > long:
                     break
-                if len(joined) >= short and (got := self.near(scope, joined)):
-                    hits.append((*got[0], i, j))
+                if len(joined) in lengths:
+                    windows.append((joined, i, j))
+                    if joined in equal:
+                        hits.append((0.0, *equal[joined], i, j))
+        # Beside a label that stands there as it is, only windows apart from it can say something else.
+        sure = min(hits, default=None)
+        for joined, i, j in windows:
+            if joined not in equal and (sure is None or i > sure[4] or j < sure[3]) and (got := self.near(scope, joined)):
+                hits.append((*got[0], i, j))
         if hits:
             best = min(hits)
             for h in hits:
