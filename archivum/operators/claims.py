@@ -118,9 +118,9 @@ def change_events(before: DataFrame, now: DataFrame, before_refs: DataFrame, now
     events = moved.unionByName(splits).unionByName(added).unionByName(removed).unionByName(fields)
     events = scratch.save(events, "events")
     counts = events.groupBy("change_type").agg(F.count("*").alias("n"))
-    size = before.select(F.count("*").alias("b")).crossJoin(now.select(F.count("*").alias("c"))).select(F.greatest(F.lit(BULK_COUNT), F.floor(F.greatest("b", "c") * BULK_SHARE)).alias("limit"))
-    # Both sides are a handful of counts.
-    counts = counts.crossJoin(F.broadcast(size)).withColumn("bulk", F.col("n") >= F.col("limit")).select("change_type", "n", "bulk")
+    limit = max(BULK_COUNT, int(max(before.count(), now.count()) * BULK_SHARE))
+    # One row per change type, of which there are fourteen.
+    counts = counts.withColumn("bulk", F.col("n") >= limit)
     events = events.join(F.broadcast(counts), "change_type")
     bulk = events.where("bulk").groupBy("change_type").agg(F.max("n").alias("n"), F.min("canonical_id").alias("first"))
     collapsed = bulk.select(F.lit("source_coverage_changed").alias("change_type"), F.lit(None).cast("string").alias("canonical_id"), F.col("change_type").alias("field"), F.col("first").alias("previous"), F.col("n").cast("string").alias("current"), F.lit("review").alias("severity"), "n")

@@ -6,9 +6,13 @@ the answer with most points (ties by answer id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivum.session import collect_bounded
+
+#: A questionnaire is a list people answer; more questions than this are an error.
+MAX_QUESTIONS = 10_000
 UNUSABLE = ("draft", "rejected", "withdrawn", "superseded")
 
 
@@ -49,21 +53,28 @@ def derive_answers(claims: DataFrame, question_fields: DataFrame, answers: DataF
     return out.select("canonical_id", "question_id", F.col("b.answer_id").alias("answer_id"), F.col("b.points").alias("points"), status.alias("status"), "n_claims", "n_answers")
 
 
+def answer_sheet(formats: DataFrame, questions: DataFrame) -> DataFrame:
+    """(canonical_id, question_id, critical): each format's empty sheet, spelled out from the list of questions."""
+    listed = collect_bounded(questions.select("question_id", "critical"), MAX_QUESTIONS, "the questionnaire")
+    sheet = F.array(*[F.struct(F.lit(q["question_id"]).alias("question_id"), F.lit(q["critical"]).alias("critical")) for q in listed])
+    if not listed:
+        sheet = F.array().cast("array<struct<question_id:string,critical:boolean>>")
+    return formats.select("canonical_id", F.explode(sheet).alias("q")).select("canonical_id", "q.question_id", "q.critical")
+
+
 def score(formats: DataFrame, questions: DataFrame, derived: DataFrame, min_completeness: float = 0.0) -> DataFrame:
     """(canonical_id, score, max answered, completeness, status, suppressed_reason) over all questions.
 
-    questions(question_id, weight, critical).  Every format meets every question
-    of a small list; that product is the answer sheet itself, not a join condition.
+    questions(question_id, weight, critical), a list of bounded length.
     """
-    totals = questions.agg(F.count("*").alias("n_questions"), F.count_if("critical").alias("n_critical"))
+    n_questions, n_critical = questions.agg(F.count("*"), F.count_if("critical")).first()
     answered = derived.where("answer_id is not null").join(questions, "question_id").groupBy("canonical_id").agg(
         F.sum(F.col("weight") * F.col("points")).alias("score"), F.count("*").alias("n_answered"), F.count_if("critical").alias("n_critical_answered")
     )
-    # The totals are one row.
-    out = formats.select("canonical_id").join(answered, "canonical_id", "left").crossJoin(F.broadcast(totals))
-    n, missing = F.coalesce("n_answered", F.lit(0)), F.col("n_critical") > F.coalesce("n_critical_answered", F.lit(0))
-    completeness = F.when(F.col("n_questions") > 0, F.round(n / F.col("n_questions"), 4)).otherwise(F.lit(0.0))
-    status = F.when(n == 0, "Not Assessed").when(missing, "Needs Assessment").when(n < F.col("n_questions"), "Partially Assessed").otherwise("Assessed")
+    out = formats.select("canonical_id").join(answered, "canonical_id", "left")
+    n, missing = F.coalesce("n_answered", F.lit(0)), F.lit(n_critical) > F.coalesce("n_critical_answered", F.lit(0))
+    completeness = F.round(n / F.lit(n_questions), 4) if n_questions else F.lit(0.0)
+    status = F.when(n == 0, "Not Assessed").when(missing, "Needs Assessment").when(n < F.lit(n_questions), "Partially Assessed").otherwise("Assessed")
     reason = F.when(n == 0, "not_assessed").when(missing, "critical_missing").when(completeness < min_completeness, "incomplete")
     return out.select("canonical_id", F.coalesce("score", F.lit(0.0)).alias("score"), n.alias("n_answered"), completeness.alias("completeness"), status.alias("status"), reason.alias("suppressed_reason"))
 
@@ -75,7 +86,7 @@ def max_score(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 def gaps(formats: DataFrame, questions: DataFrame, derived: DataFrame) -> DataFrame:
     """(canonical_id, question_id, gap): what each format lacks, and why."""
-    sheet = formats.select("canonical_id").crossJoin(F.broadcast(questions.select("question_id", "critical"))).join(derived, ["canonical_id", "question_id"], "left")
+    sheet = answer_sheet(formats, questions).join(derived, ["canonical_id", "question_id"], "left")
     gap = F.when(F.col("status").isNull(), "missing_evidence").when(F.col("status") == "unknown", "unmapped_evidence").when(F.col("n_answers") > 1, "conflicting_evidence")
     return sheet.select("canonical_id", "question_id", "critical", gap.alias("gap")).where("gap is not null")
 
@@ -93,10 +104,20 @@ def conflict_combinations(answers_per_claim: DataFrame) -> DataFrame:
     return per.groupBy("question_id", "combination").agg(F.count("*").alias("n_formats"))
 
 
-def evidence_pack(*tagged: DataFrame) -> DataFrame:
-    """Evidence rows of several kinds (canonical_id, kind, ref, text) as one document per format with a stable hash."""
+#: Items of an evidence pack; a pack is meant to be read, its total says what it leaves out.
+PACK_ITEMS = 120
+
+
+def evidence_pack(*tagged: DataFrame, most: int = PACK_ITEMS) -> DataFrame:
+    """Evidence rows of several kinds (canonical_id, kind, ref, text) as one document per format with a stable hash.
+
+    The first ``most`` items by kind and ref are shown and all are counted, so a
+    format with very many rows is never gathered.
+    """
     rows = tagged[0]
     for more in tagged[1:]:
         rows = rows.unionByName(more)
+    totals = rows.groupBy("canonical_id").agg(F.count("*").alias("n_total"))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy("canonical_id").orderBy("kind", "ref", "text"))).where(F.col("__n") <= most)
     items = F.array_sort(F.collect_list(F.struct("kind", "ref", "text")))
-    return rows.groupBy("canonical_id").agg(items.alias("items")).withColumn("n_items", F.size("items")).withColumn("sha256", F.sha2(F.to_json("items"), 256))
+    return first.groupBy("canonical_id").agg(items.alias("items")).join(totals, "canonical_id").withColumn("n_items", F.size("items")).withColumn("sha256", F.sha2(F.to_json("items"), 256))

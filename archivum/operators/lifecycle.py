@@ -13,7 +13,7 @@ from archivum.operators.latest import shadowed
 
 
 def materialize(registry: DataFrame, claims: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(registry with its claims nested, claims without a format)."""
+    """(registry with its claims nested, claims without a format).  A format's current claims are bounded by criteria and sources."""
     nested = claims.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("claims"))
     return registry.join(nested, "canonical_id", "left"), claims.join(registry.select("canonical_id"), "canonical_id", "left_anti")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.functions.normalize import LEVEL_RANK, SCOPE_RANK, match_value, rank_of, semantic_level
+from archivum.session import collect_bounded
 
 #: Upper ends of the hazard bands and the score of each band (fixed values).
 BAND_ENDS = ((1.49, "Low"), (2.49, "Moderate"))
@@ -50,20 +51,24 @@ def distinct_assessments(df: DataFrame, order: str) -> DataFrame:
 def synthesize(df: DataFrame, key: str = "canonical_id") -> DataFrame:
     """Scope-aware synthesis: the most specific scope that has a level decides, by its highest level.
 
-    Columns used: key, semantic_level, scope_type, source_id.  One window and one
-    aggregation over the same key, hence one exchange.
+    Columns used: key, semantic_level, scope_type, source_id.  Rows are first summed
+    up by key, scope and level, so a key with very many rows is a few rows after the
+    map side, before a window looks at all of a key.
     """
     ranked = df.withColumn("level_rank", rank_of(semantic_level(F.col("semantic_level")), LEVEL_RANK)).withColumn("scope_rank", F.coalesce(rank_of(F.col("scope_type"), SCOPE_RANK, 5), F.lit(5)))
+    few = ranked.groupBy(key, "scope_rank", "level_rank").agg(
+        F.count("*").alias("n"), F.collect_set("source_id").alias("sources"), F.collect_set(F.when(F.col("level_rank").isNotNull(), F.nullif(F.trim("scope_type"), F.lit("")))).alias("scopes")
+    )
     w = Window.partitionBy(key)
-    scored = ranked.withColumn("best_scope", F.min(F.when(F.col("level_rank").isNotNull(), F.col("scope_rank"))).over(w))
+    scored = few.withColumn("best_scope", F.min(F.when(F.col("level_rank").isNotNull(), F.col("scope_rank"))).over(w))
     scored = scored.withColumn("primary", F.col("level_rank").isNotNull() & (F.col("scope_rank") == F.col("best_scope")))
     primary = F.when(F.col("primary"), F.col("level_rank"))
     context = F.when(F.col("level_rank").isNotNull() & ~F.col("primary"), F.col("level_rank"))
     out = scored.groupBy(key).agg(
-        F.max(primary).alias("level_rank"), F.min(primary).alias("lowest_rank"), F.min("best_scope").alias("scope_rank"), F.count(primary).alias("n_primary"), F.count(context).alias("n_context"),
+        F.max(primary).alias("level_rank"), F.min(primary).alias("lowest_rank"), F.min("best_scope").alias("scope_rank"), F.coalesce(F.sum(F.when(primary.isNotNull(), F.col("n"))), F.lit(0)).alias("n_primary"), F.coalesce(F.sum(F.when(context.isNotNull(), F.col("n"))), F.lit(0)).alias("n_context"),
         F.sort_array(F.collect_set(primary)).alias("primary_ranks"), F.sort_array(F.collect_set(context)).alias("context_ranks"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("primary"), F.col("source_id")))), ",").alias("deciding_sources"),
-        F.count_distinct(F.when(F.col("level_rank").isNotNull(), F.nullif(F.trim("scope_type"), F.lit("")))).alias("n_scopes"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("primary"), F.col("sources")))))), ",").alias("deciding_sources"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("scopes")))).alias("n_scopes"),
     )
     names = F.create_map(*[x for n, r in LEVEL_RANK.items() for x in (F.lit(r), F.lit(n))])
     spread = F.col("level_rank") - F.col("lowest_rank")
@@ -113,6 +118,8 @@ def policy_synthesis(df: DataFrame, policy: dict, key: str = "canonical_id") ->
         raise ValueError("native scores of different scales are not aggregated")
     rows = df.where(F.col("role").isin(*policy.get("headline_roles", ["headline"])) | F.col("role").isNull())
     rows = rows.withColumn("rank", rank_of(F.col("semantic_level"), LEVEL_RANK)).withColumn("scope_rank", F.coalesce(rank_of(F.col("scope_type"), policy.get("scopes", SCOPE_RANK), policy.get("unknown_scope", 5)), F.lit(5)))
+    # A few rows per key from here on.
+    rows = rows.groupBy(key, "scope_rank", "rank").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key)
     if policy.get("missing") == "unassessed_if_any_unmapped":
         rows = rows.withColumn("rank", F.when(~F.bool_or(F.col("rank").isNull()).over(w), F.col("rank")))
@@ -121,10 +128,10 @@ def policy_synthesis(df: DataFrame, policy: dict, key: str = "canonical_id") ->
     how = policy.get("aggregate", "highest")
     if how == "majority":
         sign = 1 if policy.get("tie", "highest") == "highest" else -1
-        votes = rows.groupBy(key, "rank").agg(F.count("*").alias("n"), F.sum(F.when(F.col("rank").isNotNull(), 1).otherwise(0)).alias("m"))
+        votes = rows.groupBy(key, "rank").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rank").isNotNull(), F.col("n")).otherwise(0)).alias("m"))
         best = votes.groupBy(key).agg(F.max_by("rank", F.when(F.col("rank").isNotNull(), F.struct("n", sign * F.col("rank")))).alias("rank"), F.sum("m").alias("n_counted"))
     else:
-        best = rows.groupBy(key).agg((F.max if how == "highest" else F.min)("rank").alias("rank"), F.count("rank").alias("n_counted"))
+        best = rows.groupBy(key).agg((F.max if how == "highest" else F.min)("rank").alias("rank"), F.sum(F.when(F.col("rank").isNotNull(), F.col("n")).otherwise(0)).alias("n_counted"))
     names = F.create_map(*[x for n, r in LEVEL_RANK.items() for x in (F.lit(r), F.lit(n))])
     return best.select(key, names[F.col("rank")].alias("level"), "rank", "n_counted")
 
@@ -132,10 +139,13 @@ def policy_synthesis(df: DataFrame, policy: dict, key: str = "canonical_id") ->
 def band_of(df: DataFrame, bands: DataFrame, score: str = "score") -> DataFrame:
     """Band by ranges that may have gaps; a score outside all of them is an error, not a guess.
 
-    ``bands`` (band, min_score, max_score) is a small reference list.
+    ``bands`` (band, min_score, max_score) is a short list and becomes one expression; the first that fits counts.
     """
-    joined = df.join(bands, F.col(score).between(F.col("min_score"), F.col("max_score")), "left").drop("min_score", "max_score")
-    return joined.withColumn("band", F.when(F.col(score).isNotNull() & F.col("band").isNull(), F.raise_error(F.concat(F.lit("no band for score "), F.col(score).cast("string")))).otherwise(F.col("band")))
+    listed = collect_bounded(bands.select("band", "min_score", "max_score").orderBy("min_score", "band"), 1000, "the bands")
+    band = F.when(F.col(score).isNull(), F.lit(None).cast("string"))
+    for b in listed:
+        band = band.when(F.col(score).between(b["min_score"], b["max_score"]), b["band"])
+    return df.withColumn("band", band.otherwise(F.raise_error(F.concat(F.lit("no band for score "), F.col(score).cast("string")))))
 
 
 def rank_by_risk(df: DataFrame) -> DataFrame:

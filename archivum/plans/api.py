@@ -81,7 +81,7 @@ class Registry:
 
     def _assess_format_questions(self, r: Request) -> DataFrame:
         hit = self._named(r).select("canonical_id")
-        sheet = hit.crossJoin(F.broadcast(self.questions))
+        sheet = evidence.answer_sheet(hit, self.questions)
         return sheet.join(self._derived(r), ["canonical_id", "question_id"], "left").withColumn("status", F.coalesce("status", F.lit("missing_evidence")))
 
     def _search_formats(self, r: Request) -> DataFrame:

@@ -166,11 +166,11 @@ def claim_summary(t):
     return _claims(t).groupBy("canonical_id").agg(F.count("*").alias("n_claims"), F.count_distinct("field").alias("n_questions"), F.count_distinct("source_id").alias("n_sources"))
 
 
-@query("r11_evidence_packs", f"with {_ANS}, x as (select canonical_id, response_id from cl union all select canonical_id, overlay_id from (select distinct overlay_id, canonical_id from institution_policy_overlay where canonical_id is not null)) select canonical_id, count(*) as n_items from x group by 1")
+@query("r11_evidence_packs", f"with {_ANS}, x as (select canonical_id, response_id from cl union all select canonical_id, overlay_id from (select distinct overlay_id, canonical_id from institution_policy_overlay where canonical_id is not null)) select canonical_id, least(count(*), 120) as n_items, count(*) as n_total from x group by 1")
 def packs(t):
     answers = _claims(t).select("canonical_id", F.lit("answer").alias("kind"), F.col("response_id").cast("string").alias("ref"), F.col("value").alias("text"))
     policies = t.institution_policy_overlay.where("canonical_id is not null").dropDuplicates(["overlay_id"]).select("canonical_id", F.lit("policy").alias("kind"), F.col("overlay_id").cast("string").alias("ref"), fold(F.col("local_risk_level")).alias("text"))
-    return evidence.evidence_pack(answers, policies).select("canonical_id", F.col("n_items").cast("bigint").alias("n_items"))
+    return evidence.evidence_pack(answers, policies).select("canonical_id", F.col("n_items").cast("bigint").alias("n_items"), "n_total")
 
 
 # --- audits -----------------------------------------------------------------------------------

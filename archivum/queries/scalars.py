@@ -8,6 +8,7 @@ from archivum.functions import normalize as N
 from archivum.functions.text import fold
 from archivum.operators import evidence, rules
 from archivum.queries.base import fold as sql_fold, query, slug, strip, words
+from archivum.session import collect_bounded
 
 _EXT = f"regexp_replace(regexp_replace({strip('lower(identifier_value)')}, '^\\.+', ''), '\\s+', '', 'g')"
 _TOKENS = r"list_sort(list_distinct(list_transform(regexp_extract_all(preferred_name, '(?i)\b(\d+\.\d+(?:\.\d+)?|\d{2,4}[a-z]|(?:pdf|iso)?/?[a-z]-\d+[a-z]?|\d{2,4}-\d{2,4})\b', 1), lambda x: lower(x))))"
@@ -198,10 +199,10 @@ def criterion_claims(t):
 @query("d2_ordinal_distance", "with l as (select level_id, risk_rank from risk_level where risk_rank > 0) select a.level_id as left_level, b.level_id as right_level, abs(a.risk_rank - b.risk_rank) as steps from l a, l b where a.risk_rank < b.risk_rank")
 def distance(t):
     ranked = t.risk_level.where("risk_rank > 0").select("level_id", "risk_rank")
-    scale = [r[0] for r in ranked.orderBy("risk_rank").collect()]
-    a, b = ranked.select(F.col("level_id").alias("left_level"), F.col("risk_rank").alias("x")), ranked.select(F.col("level_id").alias("right_level"), F.col("risk_rank").alias("y"))
-    # The list of levels is a handful of rows.
-    return a.join(F.broadcast(b), F.col("x") < F.col("y")).select("left_level", "right_level", rules.ordinal_distance(F.col("left_level"), F.col("right_level"), scale, None).alias("steps"))
+    scale = [r[0] for r in collect_bounded(ranked.orderBy("risk_rank"), 1000, "the levels")]
+    others = F.explode(F.array(*[F.lit(x) for x in scale])).alias("right_level")
+    pairs = ranked.select(F.col("level_id").alias("left_level"), others).where(F.array_position(F.lit(scale), F.col("left_level")) < F.array_position(F.lit(scale), F.col("right_level")))
+    return pairs.select("left_level", "right_level", rules.ordinal_distance(F.col("left_level"), F.col("right_level"), scale, None).alias("steps"))
 
 
 
