@@ -12,18 +12,23 @@ Two kinds of steps:
 * between single-byte encodings, word by word.  Every byte string decodes, so
   the cost decides: the bits of each character in its context (the classes of
   its neighbours) under a model counted over all documents, smoothed by a prior
-  for the alphabets and signs that texts are expected to use.
+  for the alphabets and signs that texts are expected to use.  Texts that hold
+  the same contexts equally often count once, so copies of a garbled text, also
+  with other words in ASCII, do not make it normal; and characters that are not
+  expected in their place earn at most ``EARNED_BITS``, however many there are.
 
 A U+FFFD left by a decoder marks a passage that is changed but cannot be
 restored.
 
-Scale: one scan counts the contexts (a map-side sum over at most a few thousand
-keys, bounded by the characters of the supported encodings), one scan repairs.
-Texts are not shuffled; each word that holds no character above ASCII is
-skipped, and repeated words are decided once per batch.
+Scale: one scan gathers each text's contexts, of which the distinct ones are
+shuffled and summed up (at most a few thousand keys, bounded by the characters of
+the supported encodings), one scan repairs.  Texts are not shuffled; each word
+that holds no character above ASCII is skipped, and repeated words are decided
+once per batch.
 
 Edge cases (tested): null and empty texts are not affected; a text may hold
-several passages garbled in different ways; pure ASCII is never touched;
+several passages garbled in different ways; a garbled text may be a third of all
+rows; pure ASCII is never touched;
 invisible characters (no-break space, soft hyphen, zero-width space) are no sign
 of garbling by themselves.
 """
@@ -57,7 +62,10 @@ MAX_LAYERS = 6
 #: Bits by which a word's cost has to drop, and the weight of the prior against the counts.
 GAIN_BITS = 6.0
 PRIOR_WEIGHT = 3000.0
+#: Bits that counts may take off the prior cost of a character that is not expected in its place.
+EARNED_BITS = 5.0
 MAX_CONTEXTS = 200_000
+_UNEXPECTED = 1e-4
 
 _LATIN = set("éèêëàâäáãåçñóôöòõúùûüíìîïßœæøÿýÉÈÊËÀÂÄÁÃÅÇÑÓÔÖÒÕÚÙÛÜÍÌÎÏŒÆØ")
 _CYRILLIC = {chr(c) for c in range(0x410, 0x450)} | {"ё", "Ё"}
@@ -157,7 +165,7 @@ def _prior(context: str) -> float:
         return 1.0
     if c not in EXPECTED:
         odd = unicodedata.category(c) in ("Cc", "Co", "Cn") or c == "�" or "─" <= c <= "▟"
-        return 1e-6 if odd else 1e-4
+        return 1e-6 if odd else _UNEXPECTED
     if c.isalpha():
         mixed = "aAlL" if c in _CYRILLIC else "cC"
         out_of_place = "0" in (before, after) or before in mixed or after in mixed or c.isupper() and before in "alc" or c.islower() and after in "ALC" and before not in "ALC"
@@ -165,7 +173,7 @@ def _prior(context: str) -> float:
         out_of_place = after not in "aAlL" or before in "aAlL"
     else:
         out_of_place = c not in "’‑·" and before in "aAlLcC" and after in "aAlLcC"
-    return 1e-4 if out_of_place else 1 / 200
+    return _UNEXPECTED if out_of_place else 1 / 200
 
 
 class CostModel:
@@ -180,7 +188,10 @@ class CostModel:
         c = context[1]
         if c in _INVISIBLE:
             return 0.0
-        p = (self.counts.get(context, 0) + PRIOR_WEIGHT * _prior(context)) / (self.around.get(context[0] + context[2], 0) + PRIOR_WEIGHT)
+        prior = _prior(context)
+        p = (self.counts.get(context, 0) + PRIOR_WEIGHT * prior) / (self.around.get(context[0] + context[2], 0) + PRIOR_WEIGHT)
+        if prior <= _UNEXPECTED:
+            p = min(p, prior * 2**EARNED_BITS)
         return -math.log2(max(p, 1e-9))
 
     def cost(self, word: str) -> float:
@@ -264,23 +275,33 @@ class Repairer:
         return text, len(changed), lost, taken
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
+def _makeups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The contexts of each text in order (three characters each) and how often it holds them."""
     for b in batches:
-        words: Counter = Counter()
+        out = set()
         for t in b["text"]:
             if t and not t.isascii():
-                words.update(t[lo:hi] for lo, hi in words_of(t))
-        for w, n in words.items():
-            for c in contexts(w):
-                total[c] += n
+                held = Counter(c for lo, hi in words_of(t) for c in contexts(t[lo:hi]))
+                keys = sorted(held)
+                out.add(("".join(keys), ",".join(str(held[k]) for k in keys)))
+        if out:
+            yield pd.DataFrame(list(out), columns=["contexts", "ns"])
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: Counter = Counter()
+    for b in batches:
+        for keys, ns in zip(b["contexts"], b["ns"]):
+            for i, n in enumerate(ns.split(",")):
+                total[keys[3 * i : 3 * i + 3]] += int(n)
     if total:
         yield pd.DataFrame({"context": list(total), "n": list(total.values())})
 
 
 def context_counts(documents: DataFrame) -> DataFrame:
-    """(context, n) over all documents."""
-    return documents.select("text").mapInPandas(_count, "context string, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
+    """(context, n) over all documents; those with the same contexts equally often count once."""
+    makeups = documents.select("text").mapInPandas(_makeups, "contexts string, ns string").distinct()
+    return makeups.mapInPandas(_count, "context string, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
 
 
 def repaired(documents: DataFrame) -> DataFrame:

@@ -49,3 +49,28 @@ def test_rows(spark):
     got = M.repaired(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"] for r in got} == {4} and got[0]["restored"] == CLEAN[0]
     assert M.repaired(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("meant, wrong, text", [("cp1252", "mac_roman", CLEAN[0]), ("cp1252", "cp850", CLEAN[0]), ("cp1251", "cp1252", CLEAN[2])])
+def test_a_garbled_text_that_is_a_third_of_all_rows_is_found(spark, meant, wrong, text):
+    import random
+
+    draw, words = random.Random(1), " ".join(CLEAN).split()
+    garbled = "".join(M._high(wrong)[b - 128] if b > 127 else chr(b) for b in text.encode(meant)) + " "
+    clean = [(i, " ".join(draw.choices(words, k=60))) for i in range(400)]
+    # Half of the copies are exact, the others differ in a number.
+    copies = [(i, garbled * 20 + ("" if i % 2 else str(i))) for i in range(400, 600)]
+    found = lambda rows: {r["doc_id"]: r["restored"] for r in M.repaired(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got, once = found(clean + copies), found(clean + copies[1:2])
+    assert set(got) == set(range(400, 600)) and set(once) == {401} and got[401] == once[401]
+
+
+def test_a_garbled_source_does_not_make_itself_normal():
+    from collections import Counter
+
+    garbled = CLEAN[0].encode("cp1252").decode("mac_roman")
+    counts = Counter()
+    for t, n in [(CLEAN[0], 2000), (garbled, 1000)]:
+        for a, b in M.words_of(t):
+            counts.update({c: n for c in M.contexts(t[a:b])})
+    assert M.Repairer(counts).repair(garbled)[1] >= 3 and M.Repairer(counts).repair(CLEAN[0])[1] == 0
