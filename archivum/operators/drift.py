@@ -15,6 +15,7 @@ Edge cases (tested): a null value makes its field present but has no type; a
 payload that is null or no JSON object yields a row with only ``_rescued``; rows
 delivered twice count once; a file without rows lacks every field; two headers
 of one field in a row are taken in the order of preference, the others rescued;
+a fraction or a boolean is no whole number and stays rescued;
 a field with integers and fractions is a double, with any other mix a string.
 """
 
@@ -69,6 +70,11 @@ def with_fields(rows: DataFrame, field_map: DataFrame, payload: str = "payload")
     return rows.withColumn("__f", F.transform(entries, one))
 
 
+def as_kind(v: Column, kind: str) -> Column:
+    """A scalar as ``kind`` through its text, so nothing is cut off; null if it does not cast."""
+    return F.try_variant_get(v, "$", "string").try_cast(kind)
+
+
 def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payload: str = "payload") -> DataFrame:
     """Enforce ``schema``; what does not fit is preserved in ``_rescued`` (a JSON object of header to value)."""
     df = with_fields(rows.dropDuplicates(["file_id", "row_no"]), field_map, payload)
@@ -76,7 +82,7 @@ def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payloa
     def fits(x: Column) -> Column:
         ok = F.lit(False)
         for field, kind in schema.items():
-            cast = F.expr("true") if kind == "string" else F.try_variant_get(x["value"], "$", kind).isNotNull()
+            cast = F.expr("true") if kind == "string" else as_kind(x["value"], kind).isNotNull()
             ok = ok | ((x["field"] == field) & (x["type"] == F.lit("string" if kind == "string" else x["type"])) & cast) if kind == "string" else ok | ((x["field"] == field) & ~x["type"].isin("array", "object", "string") & cast)
         return ok
 
@@ -107,8 +113,8 @@ def _left_over(keep) -> Column:
 def promote(df: DataFrame, header: str, name: str, kind: str) -> DataFrame:
     """Approve a rescued field: its values that fit ``kind`` move to the typed column ``name``."""
     want = header_key(F.lit(header))
-    mine = F.map_filter(_rescued_map(), lambda k, v: (header_key(k) == want) & F.try_variant_get(v, "$", kind).isNotNull())
-    value = F.try_variant_get(F.get(F.map_values(mine), F.lit(0)), "$", kind)
+    mine = F.map_filter(_rescued_map(), lambda k, v: (header_key(k) == want) & as_kind(v, kind).isNotNull())
+    value = as_kind(F.get(F.map_values(mine), F.lit(0)), kind)
     taken = F.get(F.map_keys(mine), F.lit(0))
     return df.withColumn("__v", value).withColumn("_rescued", F.when(taken.isNull(), F.col("_rescued")).otherwise(_left_over(lambda k, v: k != taken))).withColumnRenamed("__v", name)
 

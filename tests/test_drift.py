@@ -59,6 +59,19 @@ def test_promote_and_replay_empty_the_rescue_column(spark):
     assert (got["name"], got["risk_level"], got["year"], got["_rescued"]) == ("p;q", "3", 2020, None)
 
 
+def test_fractions_and_booleans_in_a_whole_number_field_stay_rescued(spark):
+    payloads = [{"Holdings": 1756.25}, {"Holdings": True}, {"Holdings": 1756}, {"Holdings": 10**19}]
+    rows, _, fields = tables(spark, [payloads])
+    got = {r["row_no"]: (r["holdings_count"], r["_rescued"] and json.loads(r["_rescued"])) for r in drift.ingest(rows, fields, SCHEMA).collect()}
+    assert got == {0: (None, payloads[0]), 1: (None, payloads[1]), 2: (1756, None), 3: (None, payloads[3])}
+
+
+def test_promote_cuts_no_fraction_off(spark):
+    rows, _, fields = tables(spark, [[{"Audit Year": 2020.5}, {"Audit Year": "2021"}, {"Audit Year": 2022}]])
+    got = {r["row_no"]: (r["year"], r["_rescued"] and json.loads(r["_rescued"])) for r in drift.promote(drift.ingest(rows, fields, SCHEMA), "Audit Year", "year", "int").collect()}
+    assert got == {0: (None, {"Audit Year": 2020.5}), 1: (2021, None), 2: (2022, None)}
+
+
 def test_empty_tables(spark):
     rows, listed, fields = tables(spark, [[{"A": 1}]])
     assert drift.changes(rows.limit(0), listed, fields.limit(0)).count() == 0
