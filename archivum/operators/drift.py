@@ -4,7 +4,7 @@ Rescue-column ingestion.  Every header is mapped to a logical field; values that
 fit the target type go to the typed column, everything else (unknown fields,
 values of another type, payloads that are no object) is kept as JSON in
 ``_rescued``.  Later, ``promote`` turns a rescued field into a typed column and
-``replay`` converts rescued values of approved fields, both without reading the
+``replay`` converts rescued values of approved fields (``replay_fields``: all at once), both without reading the
 files again.  All of it is row-wise: no shuffle, whatever the size of a file or
 feed.  Only ``changes`` groups, by file and field, after a map-side combine.
 
@@ -121,13 +121,32 @@ def promote(df: DataFrame, header: str, name: str, kind: str) -> DataFrame:
 
 def replay(df: DataFrame, field_map: DataFrame, field: str, kind: str = "string") -> DataFrame:
     """Convert rescued values of an approved field that is still null: arrays become ';'-joined text, scalars text."""
+    return replay_fields(df, field_map, {field: kind})
+
+
+def replay_fields(df: DataFrame, field_map: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """``replay`` of several fields, each with its own type; of several headers the first that converts in order of preference."""
     known = header_map(field_map)
-    mine = F.map_filter(_rescued_map(), lambda k, v: F.element_at(known, header_key(k))["field"] == field)
-    entry = F.get(F.map_entries(mine), F.lit(0))
-    many = F.array_join(F.try_variant_get(entry["value"], "$", "array<string>"), ";")
-    text = F.coalesce(F.when(F.schema_of_variant(entry["value"]).startswith("ARRAY"), many), F.try_variant_get(entry["value"], "$", "string")).try_cast(kind)
-    df = df.withColumn("__t", F.when(F.col(field).isNull(), text)).withColumn("__k", entry["key"])
-    return df.withColumn("_rescued", F.when(F.col("__t").isNull(), F.col("_rescued")).otherwise(_left_over(lambda k, v: k != F.col("__k")))).withColumn(field, F.coalesce(field, "__t")).drop("__t", "__k")
+
+    def one(e: Column) -> Column:
+        key, kind = header_key(e["key"]), F.schema_of_variant(e["value"])
+        hit = F.element_at(known, key)
+        many = F.array_join(F.try_variant_get(e["value"], "$", "array<string>"), ";")
+        text = F.when(kind.startswith("ARRAY"), many).when(~kind.startswith("OBJECT"), F.try_variant_get(e["value"], "$", "string"))
+        return F.struct(F.coalesce(hit["field"], key).alias("field"), F.coalesce(hit["pref"], F.lit(1 << 30)).alias("pref"), key.alias("key"), e["key"].alias("header"), text.alias("text"))
+
+    def first(field: str, kind: str) -> Column:
+        mine = F.filter("__r", lambda x: (x["field"] == field) & x["text"].try_cast(kind).isNotNull())
+        return F.when(F.col(field).isNull(), F.get(F.array_sort(F.transform(mine, lambda x: F.struct(x["pref"].alias("pref"), x["key"].alias("key"), x["header"].alias("header"), x["text"].alias("text")))), F.lit(0)))
+
+    columns = df.columns
+    df = df.withColumn("__r", F.transform(F.map_entries(_rescued_map()), one))
+    for field, kind in schema.items():
+        df = df.withColumn(f"__{field}", first(field, kind))
+    taken = F.array_compact(F.array(*[F.col(f"__{f}.header") for f in schema]))
+    value = {f: F.coalesce(f, F.col(f"__{f}.text").try_cast(k)).alias(f) for f, k in schema.items()}
+    rescued = F.when(F.size(taken) > 0, _left_over(lambda k, v: ~F.array_contains(taken, k))).otherwise(F.col("_rescued")).alias("_rescued")
+    return df.select(*[rescued if c == "_rescued" else value.get(c, F.col(c)) for c in columns])
 
 
 def profiles(rows: DataFrame, field_map: DataFrame) -> DataFrame:
@@ -165,9 +184,7 @@ def p2_found(spark, sf_dir):
 
 
 def p2_table(spark, sf_dir):
-    """The one table of all rows: rescued arrays and numbers replayed, two new fields promoted."""
+    """The one table of all rows: rescued values of all approved fields replayed, two new fields promoted."""
     fields = table(spark, sf_dir, "field_map")
-    df = ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA)
-    for field in ("name", "risk_level", "extensions", "mime_types"):
-        df = replay(df, fields, field)
+    df = replay_fields(ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA), fields, POLICY_SCHEMA)
     return promote(promote(df, "Audit Year", "audit_year", "int"), "Encrypted", "encrypted", "boolean")

@@ -72,6 +72,21 @@ def test_promote_cuts_no_fraction_off(spark):
     assert got == {0: (None, {"Audit Year": 2020.5}), 1: (2021, None), 2: (2022, None)}
 
 
+def test_table_replays_every_approved_field(spark, tmp_path):
+    headers = {f: f"The {f}" for f in drift.POLICY_SCHEMA}
+    fields = [(f, h, 1) for f, h in headers.items()] + [("holdings_count", "Items", 2)]
+    drifted = {h: ["p", "q"] for h in headers.values()} | {"The institution_format_id": 49785, "The risk_level": 4.5, "The holdings_count": "many", "Items": "5759", "Shelf": "s"}
+    kept = {"The holdings_count": "1756.25", "The name": {"a": 1}}
+    rows = [("f1", 0, json.dumps(drifted)), ("f1", 1, json.dumps(kept)), ("f1", 2, json.dumps({"The name": "typed", "Items": True}))]
+    for name, data, schema in [("policy_file_row", rows, "file_id string, row_no int, payload string"), ("field_map", fields, "logical_field string, header string, preference int")]:
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["row_no"]: r.asDict() for r in drift.p2_table(spark, str(tmp_path)).collect()}
+    want = dict.fromkeys(drift.POLICY_SCHEMA, "p;q") | {"institution_format_id": "49785", "risk_level": "4.5", "holdings_count": 5759}
+    assert {f: got[0][f] for f in drift.POLICY_SCHEMA} == want and json.loads(got[0]["_rescued"]) == {"The holdings_count": "many", "Shelf": "s"}
+    assert all(got[1][f] is None for f in drift.POLICY_SCHEMA) and json.loads(got[1]["_rescued"]) == kept
+    assert got[2]["name"] == "typed" and json.loads(got[2]["_rescued"]) == {"Items": True}
+
+
 def test_empty_tables(spark):
     rows, listed, fields = tables(spark, [[{"A": 1}]])
     assert drift.changes(rows.limit(0), listed, fields.limit(0)).count() == 0
