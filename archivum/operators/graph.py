@@ -49,6 +49,8 @@ def alias_components(pairs: DataFrame, turns: int = MAX_TURNS) -> DataFrame:
         edges = new
         if done:
             break
+    else:
+        raise RuntimeError("the components did not settle")
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 

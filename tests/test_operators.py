@@ -226,3 +226,10 @@ def test_gates_and_views(spark):
     assert not audit.migration_gate(before, {"a": F.col("k") != "3"}).first()["passed"]
     one_, two = audit.fingerprint(before, ["k"]).first(), audit.fingerprint(before.orderBy(F.desc("k")).repartition(3), ["k"]).first()
     assert one_ == two != audit.fingerprint(now, ["k"]).first()
+
+
+def test_alias_components_that_do_not_settle_are_an_error(spark):
+    pairs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "a string, b string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        graph.alias_components(pairs, turns=1)
+    assert {r["component"] for r in graph.alias_components(pairs).collect()} == {"n0"}
