@@ -9,7 +9,7 @@ CLEAN = ["Überprüfung größtenteils gültig, Rückfrage für Bestände", "L
 def model():
     from collections import Counter
 
-    counts = Counter(c for t in CLEAN for a, b in M.words_of(t) for c in M.contexts(t[a:b]))
+    counts = Counter(c for t in CLEAN for a, b in M.words_of(t) for c in [*M.contexts(t[a:b]), *("+" + k for k in M.close_contexts(t[a:b]))])
     return {k: n * 200 for k, n in counts.items()}
 
 
@@ -73,4 +73,49 @@ def test_a_garbled_source_does_not_make_itself_normal():
     for t, n in [(CLEAN[0], 2000), (garbled, 1000)]:
         for a, b in M.words_of(t):
             counts.update({c: n for c in M.contexts(t[a:b])})
+            counts.update({"+" + c: n for c in M.close_contexts(t[a:b])})
     assert M.Repairer(counts).repair(garbled)[1] >= 3 and M.Repairer(counts).repair(CLEAN[0])[1] == 0
+
+
+OTHER = {
+    "ja": "日本語のテキストです。文字化け", "zh": "你好世界", "ko": "안녕하세요 세계", "el": "Καλημέρα κόσμε, δοκιμή κειμένου", "tr": "Türkçe metin: ışık, şeker, ağaç", "he": "שלום עולם טקסט",
+    "ar": "مرحبا بالعالم نص عربي", "pl": "Cześć żółw, zażółć gęślą jaźń", "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy", "ru": "привет мир", "uk": "Привіт, світе їжак", "hu": "Árvíztűrő tükörfúrógép", "ro": "țară și oraș", "hi": "नमस्ते दुनिया", "th": "สวัสดีชาวโลก",
+}
+
+
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("lang", sorted(OTHER))
+def test_other_scripts_are_restored_from_utf8(model, lang, wrong):
+    text = OTHER[lang]
+    garbled = "".join(M._high(wrong)[b - 128] if b > 127 else chr(b) for b in text.encode())
+    assert M.Repairer(model).repair(garbled)[0] == text
+
+
+@pytest.mark.parametrize("lang", sorted(OTHER))
+def test_other_writing_is_left_alone(model, lang):
+    assert M.Repairer(model).repair(OTHER[lang]) == (OTHER[lang], 0, 0, [])
+
+
+@pytest.mark.parametrize("lang, meant, wrong", [("pl", "cp1250", "cp1252"), ("cs", "cp1250", "cp1252"), ("hu", "cp1250", "latin-1"), ("tr", "cp1254", "cp1252"), ("el", "cp1253", "cp1252"), ("he", "cp1255", "latin-1")])
+def test_what_cannot_be_restored_is_not_changed_into_other_text(model, lang, meant, wrong):
+    garbled = OTHER[lang].encode(meant, "ignore").decode(wrong, "ignore")
+    assert M.Repairer(model).repair(garbled)[0] in (garbled, OTHER[lang])
+
+
+def test_a_step_to_utf8_needs_a_drop(model):
+    # An accent before a closing quote is a sequence by accident.
+    for text in ("« L’ÉTÉ”", "NAÏ”", "RÉ»"):
+        assert M.Repairer(model).repair(text)[1] == 0
+
+
+def test_many_layers_end(model):
+    once = lambda t: "".join(M._high("latin-1")[b - 128] if b > 127 else chr(b) for b in t.encode())
+    text = "größte"
+    for _ in range(8):
+        text = once(text)
+    assert M.Repairer(model).repair(text)[0] == "größte"
+
+
+def test_contexts_are_bounded_by_scripts():
+    words = ["".join(chr(0x4E00 + (i * 7 + j) % 20000) for j in range(5)) for i in range(3000)]
+    assert len({c for w in words for c in M.contexts(w)}) < 10
