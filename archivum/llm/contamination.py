@@ -5,8 +5,10 @@ and digits left out, they share ``WINDOW`` consecutive characters.  A window is
 contained in a document only if all of its shingles are, so the prefix of a
 window that the join needs is one token: its rarest shingle.
 
-1. The items' shingles (hashes of ``SHINGLE`` characters) are counted in all
-   documents; the sums are combined before the shuffle.
+1. The shingles (hashes of ``SHINGLE`` characters) that items hold are counted in
+   all documents, in one scan for all items: by slots of ``SLOT_BITS`` bits of
+   the hash, so a count is never too low and a shingle that no document holds is
+   nearly always known to be absent.
 2. Shingles are ordered by that frequency, and the rarest of each window is
    kept, with its place in the item.
 3. The documents are scanned for these tokens.  A hit carries the ``WINDOW``
@@ -16,14 +18,17 @@ window that the join needs is one token: its rarest shingle.
    shared shingle are compared character by character: the result is exact,
    whatever the hashes do.
 
-Scale: two scans of the texts, none of which is shuffled; what is moved is the
-items' shingle counts and the hits.  Items are processed in blocks of
-``BLOCK_CHARS`` normalised characters, so what each task holds is bounded by a
-parameter and not by the number of items.  A token that is frequent in the
-documents meets postings that are sent to all tasks, or is split by AQE.
-
-Edge cases (tested): null and empty texts match nothing; an item shorter than
-``WINDOW`` cannot match; repeated documents are reported under each id; a text
+Scale: texts are not shuffled; what is moved is slot counts and hits.  What is
+sent to every task is a bitmap of fixed size (``2 ** SLOT_BITS`` bits) for the
+counting, and at most ``TOKEN_BLOCK`` prefix tokens for the search.  Only tokens
+that documents hold are searched for; if they are more than a block, the
+documents are searched once per block.  A token that is frequent in the
+documents is split by AQE in the join.
+
+Edge cases (tested): null and empty texts match nothing; an item of fewer than
+``WINDOW`` letters and digits has no passage of that length and cannot match by
+definition; lengths are those after case folding, which may lengthen a text up to
+``LONGEST_FOLD`` times; repeated documents are reported under each id; a text
 given twice under one id counts once; case folding follows Unicode, so a letter
 whose upper case has two characters matches it.
 """
@@ -42,7 +47,13 @@ from archivum.session import Scratch, column, table
 
 WINDOW = 60
 SHINGLE = 20
-BLOCK_CHARS = 4_000_000
+#: Bits of a hash by which shingles are counted, and prefix tokens searched for in one scan.
+SLOT_BITS = 26
+TOKEN_BLOCK = 4_000_000
+#: Slots that a task sums up before it passes them on.
+_HELD = 4_000_000
+#: Characters that one character can fold to (Unicode's full case folding).
+LONGEST_FOLD = 3
 _END = 1  # stands between texts; no letter or digit has this code
 _MASK_BITS = 22
 
@@ -184,19 +195,59 @@ def _item_shingles(window: int):
     return run
 
 
-def _frequencies(hashes):
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _pack_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The slots of one stretch of the bitmap as bytes."""
+    for b in batches:
+        out = []
+        for at in b["slots"]:
+            bits = np.zeros(_STRETCH, dtype=np.uint8)
+            bits[np.asarray(at, dtype=np.int64)] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pd.DataFrame({"stretch": b["stretch"], "bits": out})
+
+
+_STRETCH = 1 << 15
+
+
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """Which slots the items' shingles take: fixed size, put together from stretches of it."""
+    slot = F.shiftrightunsigned("token", 64 - SLOT_BITS)
+    taken = shingles.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / _STRETCH).cast("int").alias("stretch")).agg(F.collect_list(F.pmod("slot", F.lit(_STRETCH)).cast("int")).alias("slots"))
+    out = np.zeros((1 << SLOT_BITS) // 8, dtype=np.uint8)
+    for r in taken.mapInPandas(_pack_bits, "stretch int, bits binary").toLocalIterator():
+        at = r["stretch"] * _STRETCH // 8
+        out[at : at + _STRETCH // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _frequencies(bitmap):
+    def flush(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(found), return_counts=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, total = _Lookup(hashes.value), None
-        total = np.zeros(len(lookup.sorted), dtype=np.int64)
+        taken, found, held = np.frombuffer(bitmap.value, dtype=np.uint8), [], 0
         for b in batches:
             for _, texts in _chunks(b["text"].tolist(), b["text"].tolist()):
                 codes, _ = normalise(texts)
                 h = shingle_hashes(codes)
-                at = lookup.places(h, _inside(codes, SHINGLE)) if len(h) else []
-                if len(at):
-                    total += np.bincount(np.searchsorted(lookup.sorted, h[at]), minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"token": _signed(lookup.sorted[hit]), "n": total[hit]})
+                if not len(h):
+                    continue
+                slot = _slots(h)
+                hit = (taken[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) & _inside(codes, SHINGLE)
+                if hit.any():
+                    found.append(slot[hit])
+                    held += len(found[-1])
+                if held >= _HELD:
+                    slots, n = flush(found)
+                    yield pd.DataFrame({"slot": slots, "n": n})
+                    found, held = [], 0
+        if found:
+            slots, n = flush(found)
+            yield pd.DataFrame({"slot": slots, "n": n})
 
     return run
 
@@ -223,36 +274,37 @@ def _hits(hashes, window: int):
 
 
 def _tokens(df: DataFrame) -> np.ndarray:
-    """Distinct tokens of a block of items; their number is bounded by the block."""
+    """Distinct tokens of a block; their number is bounded by the block."""
     return df.select("token").distinct().toPandas()["token"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, token_block: int = TOKEN_BLOCK) -> DataFrame:
     """(doc_id, item_id) for every document that holds ``window`` characters of an item."""
     if window < SHINGLE:
         raise ValueError(f"a window takes at least {SHINGLE} characters")
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
-    docs = documents.select("doc_id", "text").where(F.length("text") >= window)
-    wanted = items.select("item_id", "text").where(F.length("text") >= window).dropDuplicates()
-    total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    blocked = wanted.withColumn("block", F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    shingles = scratch.save(blocked.repartition(max(1, min(8 * blocks, 256)), "item_id", "text").mapInPandas(_item_shingles(window), "item_id bigint, form bigint, pos int, token bigint, context string").withColumn("block", F.lit(0) if blocks == 1 else F.pmod(F.xxhash64("item_id"), F.lit(blocks))), "shingles")
+    # Only texts that cannot be long enough even when folded are left out here.
+    long = F.length("text") * LONGEST_FOLD >= window
+    docs = documents.select("doc_id", "text").where(long)
+    wanted = items.select("item_id", "text").where(long).dropDuplicates()
+    parts = max(1, min(8, int(spark.conf.get("spark.sql.shuffle.partitions")))) if wanted.limit(1001).count() <= 1000 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shingles = scratch.save(wanted.repartition(parts, "item_id", "text").mapInPandas(_item_shingles(window), "item_id bigint, form bigint, pos int, token bigint, context string"), "shingles")
+    bitmap = spark.sparkContext.broadcast(_bitmap(shingles).tobytes())
+    counts = docs.select("text").mapInPandas(_frequencies(bitmap), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    over = Window.partitionBy("item_id", "form").orderBy("pos").rowsBetween(Window.currentRow, window - SHINGLE)
+    ranked = shingles.withColumn("slot", F.shiftrightunsigned("token", 64 - SLOT_BITS)).join(counts, "slot", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "pos", "context"))
+    rarest = ranked.withColumn("best", F.min("rank").over(over)).withColumn("last", F.max("pos").over(Window.partitionBy("item_id", "form")))
+    # Only places that begin a whole window choose a token; one no document holds cannot match.
+    prefix = scratch.save(rarest.where((F.col("pos") + window - SHINGLE <= F.col("last")) & (F.col("best.n") > 0)).select("item_id", "best.token", "best.context").distinct(), "prefix")
+    blocks = max(1, -(-prefix.select("token").distinct().count() // token_block))
     found = None
     for block in range(blocks):
-        mine = shingles.where(F.col("block") == block)
-        all_tokens = spark.sparkContext.broadcast(_tokens(mine))
-        counts = docs.select("text").mapInPandas(_frequencies(all_tokens), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-        over = Window.partitionBy("item_id", "form").orderBy("pos").rowsBetween(Window.currentRow, window - SHINGLE)
-        ranked = mine.join(counts, "token", "left").withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "pos", "context"))
-        rarest = ranked.withColumn("best", F.min("rank").over(over)).withColumn("last", F.max("pos").over(Window.partitionBy("item_id", "form")))
-        # Only places that begin a whole window choose a token; one no document holds cannot match.
-        prefix = scratch.save(rarest.where((F.col("pos") + window - SHINGLE <= F.col("last")) & (F.col("best.n") > 0)).select("item_id", "best.token", "best.context", "best.n").distinct(), "prefix")
-        tokens = spark.sparkContext.broadcast(_tokens(prefix))
+        mine = prefix if blocks == 1 else prefix.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == block)
+        tokens = spark.sparkContext.broadcast(_tokens(mine))
         hits = docs.mapInPandas(_hits(tokens, window), f"doc_id {dict(docs.dtypes)['doc_id']}, token bigint, context string")
         # The postings are as few as the items' windows; if Spark finds them too large to send, AQE splits a frequent token's hits.
-        posts = prefix.select("item_id", "token", F.col("context").alias("item_context"))
+        posts = mine.select("item_id", "token", F.col("context").alias("item_context"))
         same = F.exists(F.sequence(F.lit(1), F.lit(window - SHINGLE + 1)), lambda k: F.substring("context", k, F.lit(window)) == F.substring("item_context", k, F.lit(window)))
         pairs = hits.join(posts, "token").where(same).select("doc_id", "item_id")
         found = pairs if found is None else found.unionByName(pairs)
@@ -264,7 +316,13 @@ def p9_found(spark, sf_dir):
 
 
 def p9_items(spark, sf_dir):
-    """For each item that leaked, in how many documents, and in how many of each source."""
-    documents = table(spark, sf_dir, "documents")
-    pairs = leaks(documents, table(spark, sf_dir, "eval_item"))
-    return pairs.join(documents.select("doc_id", column("source")).distinct(), "doc_id").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.count_distinct("source").alias("n_sources"))
+    """For each item whether it is long enough to be found, in how many documents it stands, and in how many sources' documents."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")
+    hits = leaks(documents, items).join(documents.select("doc_id", column("source")).distinct(), "doc_id").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.count_distinct("source").alias("n_sources"))
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b["item_id"], "n_letters": [len(normalise([t])[0]) - 1 for t in b["text"]]})
+
+    listed = items.select("item_id", "text").mapInPandas(lengths, "item_id bigint, n_letters int").groupBy("item_id").agg(F.max("n_letters").alias("n_letters"))
+    return listed.join(hits, "item_id", "left").select("item_id", (F.col("n_letters") >= WINDOW).alias("long_enough"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))

@@ -10,6 +10,14 @@ def _missing(c: str) -> str:
 
 _SQUEEZED = f"trim(regexp_replace(description, '{_WS}+', ' ', 'g'))"
 
+_LEAKS = r"""
+with letters as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from documents),
+items as (select item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from eval_item),
+windows as (select distinct item_id, t[i:i + 59] as w from items, unnest(range(1, length(t) - 58)) as u(i) where length(t) >= 60),
+places as (select doc_id, t[i:i + 59] as w from letters, unnest(range(1, length(t) - 58)) as u(i) where length(t) >= 60)
+select distinct doc_id, item_id from places join windows using (w)
+"""
+
 ORACLES: dict[str, str] = {
     "p3_found": f"""
 with entries as (
@@ -32,11 +40,10 @@ pairs as (select distinct a.id as a, b.id as b from ties a join ties b using (va
 reach(a, b) as (select a, b from pairs union select r.a, p.b from reach r join pairs p on p.a = r.b)
 select a as canonical_id, min(least(a, b)) as group_id from reach group by a
 """,
-    "p9_found": r"""
-with letters as (select doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from documents),
-items as (select item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') as t from eval_item),
-windows as (select distinct item_id, t[i:i + 59] as w from items, unnest(range(1, length(t) - 58)) as u(i) where length(t) >= 60),
-places as (select doc_id, t[i:i + 59] as w from letters, unnest(range(1, length(t) - 58)) as u(i) where length(t) >= 60)
-select distinct doc_id, item_id from places join windows using (w)
+    "p9_found": _LEAKS,
+    "p9_items": f"""
+with found as ({_LEAKS})
+select i.item_id, max(length(regexp_replace(lower(i.text), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) >= 60 as long_enough, count(distinct f.doc_id) as n_documents, count(distinct d.source) as n_sources
+from eval_item i left join found f on f.item_id = i.item_id left join documents d on d.doc_id = f.doc_id group by i.item_id
 """,
 }

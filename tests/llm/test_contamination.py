@@ -37,7 +37,7 @@ def test_leaks_equal_brute_force(spark):
     want = brute(docs, items)
     assert len(want) > 20
     assert {tuple(r) for r in C.leaks(d, i).collect()} == want
-    assert {tuple(r) for r in C.leaks(d, i, block_chars=500).collect()} == want
+    assert {tuple(r) for r in C.leaks(d, i, token_block=50).collect()} == want
 
 
 def test_empty(spark):
@@ -50,3 +50,13 @@ def test_hashes_agree_with_places():
     assert starts.tolist() == [0, 5, 6, 7]
     h = C.shingle_hashes(codes, 4)
     assert h[0] == h[7] and C._inside(codes, 4).tolist() == [True] + [False] * 6 + [True, False]
+
+
+def test_folding_that_lengthens_a_text_loses_no_link(spark):
+    docs = spark.createDataFrame([(1, "ß" * 40), (2, "ﬃ" * 20), (3, "s" * 59), (4, "ss" * 30)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "s" * 80), (8, "ß" * 30), (9, "ffi" * 25)], "item_id bigint, text string")
+    assert {tuple(r) for r in C.leaks(docs, items).collect()} == {(1, 7), (4, 7), (1, 8), (4, 8), (2, 9)}
+
+
+def test_no_character_folds_to_more_than_is_reckoned_with():
+    assert max(len(chr(c).casefold()) for c in range(0x110000)) == C.LONGEST_FOLD
