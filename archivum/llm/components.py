@@ -7,9 +7,11 @@ A level takes edges between nodes.  Each partition runs union-find over its own
 edges and emits a star per local component: every node with its local root.  A
 node that has one root everywhere hangs below it for good.  A node that got
 several roots ties them together: these root-to-root edges, and nothing else,
-are the next level's edges.  When a level's edges fit into one partition
-(``FINAL_EDGES``) it is the last one.  Then the roots are resolved from the top
-level down, one join per level.
+are the next level's edges.  The first level always has several partitions;
+when a later level's edges fit into one (``FINAL_EDGES``) it is the last one.
+Then the roots are resolved from the top level down, one join per level.  A
+partition folds its edges in batch by batch over one parent array, so its time
+grows in proportion to its edges and what it holds to its nodes.
 
 Between levels edges are brought together at the endpoint that has the smaller
 hash at that level, so every node that is a local maximum disappears: the nodes
@@ -40,6 +42,8 @@ from archivum.session import Scratch, collect_bounded, table
 #: Edges that one task may hold; a level with no more of them is the last.
 FINAL_EDGES = 2_000_000
 MAX_LEVELS = 200
+#: Edges for which the first level takes a partition of its own, up to the session's partitions.
+LEAF_EDGES = 100_000
 
 
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,17 +67,65 @@ def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, names[parent]
 
 
+class Forest:
+    """Union-find over named nodes, fed batch by batch; a batch costs its own size, not the forest's."""
+
+    def __init__(self):
+        self.index: dict = {}
+        self.parent = np.zeros(1024, dtype=np.int64)
+
+    def _codes(self, names: np.ndarray) -> np.ndarray:
+        index = self.index
+        for x in names:
+            if x not in index:
+                index[x] = len(index)
+        if len(index) > len(self.parent):
+            self.parent = np.concatenate([self.parent, np.zeros(max(len(self.parent), len(index)), dtype=np.int64)])
+        codes = np.fromiter((index[x] for x in names), dtype=np.int64, count=len(names))
+        return codes
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        """The roots of some nodes, which then hang right below them."""
+        up = self.parent[at]
+        while True:
+            higher = self.parent[up]
+            if (higher == up).all():
+                break
+            up = self.parent[higher]
+        self.parent[at] = up
+        return up
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        codes, names = pd.factorize(np.concatenate([u, v]))
+        known = len(self.index)
+        nodes = self._codes(names)
+        self.parent[known : len(self.index)] = np.arange(known, len(self.index))
+        tops = self.roots(nodes)[codes]
+        # Only the roots that this batch meets are united.
+        low, high = local_roots(tops[: len(u)], tops[len(u) :])
+        self.parent[low] = high
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every node and the smallest name of its component."""
+        names = np.array(list(self.index), dtype=object)
+        roots = self.roots(np.arange(len(names)))
+        order = np.argsort(names, kind="stable")
+        smallest = np.full(len(names), len(names), dtype=np.int64)
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[order] = np.arange(len(names))
+        np.minimum.at(smallest, roots, rank)
+        return names, names[order[smallest[roots]]]
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over a partition; what is held is its spanning forest, folded in batch by batch."""
-    u = v = np.zeros(0, dtype=object)
+    """Union-find over a partition; only its spanning forest leaves it."""
+    forest = Forest()
     for b in batches:
-        u, v = np.concatenate([u, b["u"].to_numpy(dtype=object)]), np.concatenate([v, b["v"].to_numpy(dtype=object)])
-        names, roots = local_roots(u, v)
-        tied = names != roots
-        u, v = names[tied], roots[tied]
-    if len(u):
-        names, roots = local_roots(u, v)
-        yield pd.DataFrame({"node": names, "root": roots})
+        forest.add(b["u"].to_numpy(dtype=object), b["v"].to_numpy(dtype=object))
+    if forest.index:
+        names, roots = forest.stars()
+        for lo in range(0, len(names), 100_000):
+            yield pd.DataFrame({"node": names[lo : lo + 100_000], "root": roots[lo : lo + 100_000]})
 
 
 def _spread(edges: DataFrame, parts: int, level: int, bound: int) -> DataFrame:
@@ -93,8 +145,9 @@ def components(edges: DataFrame, final_edges: int = FINAL_EDGES, scratch: Scratc
     levels: list[DataFrame] = []
     for level in range(MAX_LEVELS):
         n = edges.count()
-        last = n <= final_edges
-        placed = edges.coalesce(1) if last else _spread(edges, -(-n // final_edges) * 2, level, final_edges)
+        last = level > 0 and n <= final_edges
+        wide = max(2, min(-(-n // LEAF_EDGES), edges.sparkSession.sparkContext.defaultParallelism))
+        placed = edges.coalesce(1) if last else _spread(edges, max(wide if level == 0 else 2, -(-n // final_edges) * 2), level, final_edges)
         stars = scratch.save(placed.mapInPandas(_forest, "node string, root string"), f"stars{level}")
         if last:
             levels.append(stars)

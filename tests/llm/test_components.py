@@ -46,3 +46,20 @@ def test_shared_values(spark):
     got = {tuple(r) for r in C.groups_by_shared_value(df, "canonical_id", ["t", "v"]).collect()}
     assert got == {("a", "a"), ("b", "a"), ("c", "a")}
     assert C.groups_by_shared_value(df.limit(0), "canonical_id", ["t", "v"]).count() == 0
+
+
+def test_a_forest_fed_in_batches():
+    import numpy as np
+
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(260)] + [(f"c{k}", f"c{k + 1}") for k in range(300)]
+    rng.shuffle(pairs)
+    forest = C.Forest()
+    for lo in range(0, len(pairs), 37):
+        u, v = (np.array(x, dtype=object) for x in zip(*pairs[lo : lo + 37]))
+        forest.add(u, v)
+    names, roots = forest.stars()
+    out = {}
+    for n, r in zip(names, roots):
+        out.setdefault(r, set()).add(n)
+    assert {frozenset(v) for v in out.values()} == brute(pairs) and all(r == min(v) for r, v in out.items())
