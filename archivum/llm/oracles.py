@@ -31,6 +31,19 @@ cat as (select canonical_id, entry_id, row_number() over (partition by canonical
 des as (select canonical_id, entry_id, row_number() over (partition by canonical_id order by length({_SQUEEZED}) desc, updated_at desc nulls last, rank, entry_id) as n from entries where not {_missing('description')})
 select s.canonical_id, coalesce(c.entry_id, -1) as category_entry_id, coalesce(d.entry_id, -1) as description_entry_id
 from several s left join cat c on c.canonical_id = s.canonical_id and c.n = 1 left join des d on d.canonical_id = s.canonical_id and d.n = 1
+""",
+    "p3_survivors": f"""
+with entries as (
+  select distinct on (e.entry_id, e.canonical_id) e.entry_id, e.canonical_id, e.category, e.description, e.updated_at, coalesce(t.trust_rank, 1073741824) as rank
+  from format_registry e
+  left join (select distinct src_ord, source_id from source_record) s on s.src_ord = e.src_ord
+  left join source_trust t on t.source_id = s.source_id
+  where e.canonical_id is not null),
+cat as (select *, row_number() over (partition by canonical_id order by rank, updated_at desc nulls last, entry_id) as n from entries where not {_missing('category')}),
+des as (select *, row_number() over (partition by canonical_id order by length({_SQUEEZED}) desc, updated_at desc nulls last, rank, entry_id) as n from entries where not {_missing('description')})
+select e.canonical_id, e.n_entries, trim(regexp_replace(c.category, '{_WS}+', ' ', 'g')) as category, trim(regexp_replace(d.description, '{_WS}+', ' ', 'g')) as description, c.entry_id as category_entry_id, d.entry_id as description_entry_id
+from (select canonical_id, count(*) as n_entries from entries group by canonical_id) e
+left join cat c on c.canonical_id = e.canonical_id and c.n = 1 left join des d on d.canonical_id = e.canonical_id and d.n = 1
 """,
     "p7_found": f"""
 with recursive ties as (
