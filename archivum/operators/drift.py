@@ -5,15 +5,21 @@ fit the target type go to the typed column, everything else (unknown fields,
 values of another type, payloads that are no object) is kept as JSON in
 ``_rescued``.  Later, ``promote`` turns a rescued field into a typed column and
 ``replay`` converts rescued values of approved fields (``replay_fields``: all at once), both without reading the
-files again.  All of it is row-wise: no shuffle, whatever the size of a file or
-feed.  Only ``changes`` groups, by file and field, after a map-side combine.
+files again.  What became of each header (its field, its type, typed or rescued)
+is kept per row in ``_seen``, and ``changes`` reports drift from that column of
+the ingested table, without looking at the payloads again.
+
+Scale: mapping, casting, promoting and replaying are row-wise.  Rows delivered
+twice are found by one shuffle by (file, row); a report does not need that, as
+repeated rows add nothing to it.  ``changes`` groups by file and field after a
+map-side combine.
 
 The header map is a reference list of bounded size (``MAX_HEADERS``) and becomes
 part of the plan as a literal.
 
 Edge cases (tested): a null value makes its field present but has no type; a
 payload that is null or no JSON object yields a row with only ``_rescued``; rows
-delivered twice count once; a file without rows lacks every field; two headers
+delivered twice count once (if they differ, the one whose payload sorts last); a file without rows lacks every field; two headers
 of one field in a row are taken in the order of preference, the others rescued;
 a fraction or a boolean is no whole number and stays rescued;
 a field with integers and fractions is a double, with any other mix a string.
@@ -75,9 +81,19 @@ def as_kind(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", "string").try_cast(kind)
 
 
-def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payload: str = "payload") -> DataFrame:
-    """Enforce ``schema``; what does not fit is preserved in ``_rescued`` (a JSON object of header to value)."""
-    df = with_fields(rows.dropDuplicates(["file_id", "row_no"]), field_map, payload)
+def each_row_once(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per (file_id, row_no); of differing ones the one whose payload sorts last."""
+    keys, rest = ["file_id", "row_no"], [c for c in rows.columns if c not in ("file_id", "row_no")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(payload)).alias("__r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"__r.`{c}`") for c in rows.columns])
+
+
+def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payload: str = "payload", once: bool = True) -> DataFrame:
+    """Enforce ``schema``; what does not fit is preserved in ``_rescued`` (a JSON object of header to value).
+
+    ``_seen`` lists the headers of the row: logical field, header key, type of the value, whether it went to its typed column.
+    """
+    df = with_fields(each_row_once(rows, payload) if once else rows, field_map, payload)
 
     def fits(x: Column) -> Column:
         ok = F.lit(False)
@@ -98,7 +114,8 @@ def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payloa
     rescued = F.when(F.col("__f").isNull(), F.when(F.col(payload).isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col(payload))))).when(
         F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda x: F.struct(x["header"], x["value"]))))
     )
-    return out.select(*[c for c in rows.columns if c != payload], *[F.col(f"__{f}.text").try_cast(k).alias(f) for f, k in schema.items()], rescued.alias("_rescued"))
+    seen = F.transform("__f", lambda x: F.struct(x["field"].alias("field"), x["key"].alias("key"), x["type"].alias("type"), F.array_contains(used, x["header"]).alias("typed")))
+    return out.select(*[c for c in rows.columns if c != payload], *[F.col(f"__{f}.text").try_cast(k).alias(f) for f, k in schema.items()], rescued.alias("_rescued"), seen.alias("_seen"))
 
 
 def _rescued_map() -> Column:
@@ -149,9 +166,9 @@ def replay_fields(df: DataFrame, field_map: DataFrame, schema: dict[str, str]) -
     return df.select(*[rescued if c == "_rescued" else value.get(c, F.col(c)) for c in columns])
 
 
-def profiles(rows: DataFrame, field_map: DataFrame) -> DataFrame:
-    """One row per file and field: its headers and its type over all rows of the file."""
-    seen = with_fields(rows, field_map).select("file_id", F.explode("__f").alias("f")).select("file_id", "f.field", "f.key", "f.type")
+def profiles(ingested: DataFrame) -> DataFrame:
+    """One row per file and field: its headers and its type over all ingested rows of the file."""
+    seen = ingested.select("file_id", F.explode("_seen").alias("f")).select("file_id", "f.field", "f.key", "f.type")
     kinds = ["string", "integer", "double", "boolean", "array", "object"]
     flags = [F.max(F.when(F.col("type") == k, 1).otherwise(0)).alias(f"__{k}") for k in kinds]
     per = seen.groupBy("file_id", "field").agg(F.array_sort(F.collect_set("key")).alias("headers"), *flags)
@@ -160,11 +177,11 @@ def profiles(rows: DataFrame, field_map: DataFrame) -> DataFrame:
     return per.select("file_id", "field", "headers", kind.alias("type"))
 
 
-def changes(rows: DataFrame, files: DataFrame, field_map: DataFrame) -> DataFrame:
+def changes(ingested: DataFrame, files: DataFrame) -> DataFrame:
     """Added, removed, renamed and retyped fields of each file against the previous one of its feed."""
     order = Window.partitionBy("feed_id").orderBy("delivered_at", "file_id")
-    listed = files.select("feed_id", "file_id", "delivered_at").dropDuplicates(["file_id"]).withColumn("seq", F.row_number().over(order)).withColumn("next_file", F.lead("file_id").over(order))
-    seen = profiles(rows, field_map).join(listed, "file_id")
+    listed = files.groupBy("file_id").agg(F.max(F.struct("delivered_at", "feed_id")).alias("f")).select("file_id", "f.*").withColumn("seq", F.row_number().over(order)).withColumn("next_file", F.lead("file_id").over(order))
+    seen = profiles(ingested).join(listed, "file_id")
     w = Window.partitionBy("feed_id", "field").orderBy("seq")
     seen = seen.withColumn("__kept", F.lag("seq").over(w).eqNullSafe(F.col("seq") - 1)).withColumn("__stretch", F.sum(F.when(F.col("__kept"), 0).otherwise(1)).over(w))
     since_added = Window.partitionBy("feed_id", "field", "__stretch").orderBy("seq")
@@ -180,11 +197,19 @@ def changes(rows: DataFrame, files: DataFrame, field_map: DataFrame) -> DataFram
 
 
 def p2_found(spark, sf_dir):
-    return changes(table(spark, sf_dir, "policy_file_row"), table(spark, sf_dir, "policy_file"), table(spark, sf_dir, "field_map"))
+    ingested = ingest(table(spark, sf_dir, "policy_file_row"), table(spark, sf_dir, "field_map"), POLICY_SCHEMA, once=False)
+    return changes(ingested, table(spark, sf_dir, "policy_file"))
 
 
 def p2_table(spark, sf_dir):
     """The one table of all rows: rescued values of all approved fields replayed, two new fields promoted."""
     fields = table(spark, sf_dir, "field_map")
-    df = replay_fields(ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA), fields, POLICY_SCHEMA)
+    df = replay_fields(ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA), fields, POLICY_SCHEMA).drop("_seen")
     return promote(promote(df, "Audit Year", "audit_year", "int"), "Encrypted", "encrypted", "boolean")
+
+
+def p2_rescued(spark, sf_dir):
+    """For each file and field how many rows have it, and how many of them kept it as rescued JSON on ingestion."""
+    ingested = ingest(table(spark, sf_dir, "policy_file_row"), table(spark, sf_dir, "field_map"), POLICY_SCHEMA)
+    seen = ingested.select("file_id", F.explode("_seen").alias("f")).where("f.type is not null")
+    return seen.groupBy("file_id", F.col("f.field").alias("field_name")).agg(F.count("*").alias("n_values"), F.count_if(~F.col("f.typed")).alias("n_rescued"))

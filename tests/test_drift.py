@@ -21,7 +21,7 @@ def tables(spark, files):
 
 def changes(spark, *files):
     rows, listed, fields = tables(spark, files)
-    return sorted(tuple(r) for r in drift.changes(rows.drop("field"), listed, fields).select("file_id", "field_name", "change_kind").collect())
+    return sorted(tuple(r) for r in drift.changes(drift.ingest(rows.drop("field"), fields, SCHEMA, once=False), listed).select("file_id", "field_name", "change_kind").collect())
 
 
 def test_added_removed_renamed_retyped(spark):
@@ -89,5 +89,17 @@ def test_table_replays_every_approved_field(spark, tmp_path):
 
 def test_empty_tables(spark):
     rows, listed, fields = tables(spark, [[{"A": 1}]])
-    assert drift.changes(rows.limit(0), listed, fields.limit(0)).count() == 0
+    assert drift.changes(drift.ingest(rows.limit(0), fields.limit(0), SCHEMA), listed).count() == 0
     assert drift.ingest(rows.limit(0), fields, SCHEMA).count() == 0
+
+
+def test_of_two_payloads_of_one_row_the_last_in_order_counts(spark):
+    rows = spark.createDataFrame([("f", 1, '{"Format Title": "a"}', 1), ("f", 1, '{"Format Title": "b"}', 2), ("f", 1, None, 3)], "file_id string, row_no int, payload string, extra int")
+    fields = spark.createDataFrame(MAP, "logical_field string, header string, preference int")
+    assert [(r["name"], r["extra"]) for r in drift.ingest(rows, fields, SCHEMA).collect()] == [("b", 2)]
+
+
+def test_seen_says_what_became_of_each_header(spark):
+    rows, _, fields = tables(spark, [[{"Format Title": "x", "Known As": "y", "Holdings": "many", "Shelf": None}]])
+    got = {(s["field"], s["key"]): (s["type"], s["typed"]) for s in drift.ingest(rows, fields, SCHEMA).first()["_seen"]}
+    assert got == {("name", "formattitle"): ("string", True), ("name", "knownas"): ("string", False), ("holdings_count", "holdings"): ("string", False), ("shelf", "shelf"): (None, False)}
