@@ -6,8 +6,10 @@ from archivum.operators import drift, history, snapshots
 
 QUERIES = {
     "p1_found": history.p1_found,
+    "p1_current": history.p1_current,
     "p2_found": drift.p2_found,
     "p2_table": drift.p2_table,
+    "p2_rescued": drift.p2_rescued,
     "p6_found": snapshots.p6_found,
 }
 
@@ -22,7 +24,7 @@ ORACLES = {
     "p1_found": f"""
 with runs as (
   select run_id, institution_id, as_of_day, row_number() over w as seq, lead(as_of_day) over w as next_day
-  from registry_run where status = 'completed' window w as (partition by institution_id order by as_of_day)),
+  from registry_run where status = 'completed' window w as (partition by institution_id order by as_of_day, run_id)),
 latest as (
   select r.institution_id, o.institution_format_id, r.seq, r.as_of_day, r.next_day,
     {_fold('o.local_risk_level')} || chr(1) || {_fold('o.local_preservation_action')} as state,
@@ -35,6 +37,21 @@ grouped as (
   select *, sum(starts) over (partition by institution_id, institution_format_id order by seq) as version from marked)
 select institution_id, institution_format_id, min(as_of_day) as valid_from, coalesce(arg_max(coalesce(next_day, '9999-12-31'), seq), '9999-12-31') as valid_to
 from grouped group by institution_id, institution_format_id, version
+""",
+    "p1_current": f"""
+with runs as (
+  select run_id, institution_id, as_of_day, row_number() over w as seq, count(*) over (partition by institution_id) as n_runs
+  from registry_run where status = 'completed' window w as (partition by institution_id order by as_of_day, run_id)),
+latest as (
+  select r.institution_id, o.institution_format_id, r.seq, r.as_of_day, r.n_runs, {_fold('o.local_risk_level')} as risk_level, {_fold('o.local_preservation_action')} as preservation_action,
+    row_number() over (partition by r.institution_id, o.institution_format_id, r.seq order by o.recorded_at desc, o.overlay_id desc) as n
+  from institution_policy_overlay o join runs r using (run_id)),
+marked as (
+  select *, case when lag(seq) over w = seq - 1 and lag(risk_level) over w = risk_level and lag(preservation_action) over w = preservation_action then 0 else 1 end as starts
+  from latest where n = 1 window w as (partition by institution_id, institution_format_id order by seq)),
+grouped as (select *, sum(starts) over (partition by institution_id, institution_format_id order by seq) as version from marked)
+select institution_id, institution_format_id, any_value(risk_level) as risk_level, any_value(preservation_action) as preservation_action, min(as_of_day) as valid_from
+from grouped group by institution_id, institution_format_id, version having max(seq) = any_value(n_runs)
 """,
     "p2_found": """
 with heads as (
@@ -65,6 +82,20 @@ select file_id, field as field_name, 'added' as change_kind from typed where not
 union all select file_id, field, 'renamed' from typed where kept and was <> headers
 union all select file_id, field, 'retyped' from typed where kept and before <> kind
 union all select next_file, field, 'removed' from typed where next_file is not null and later is distinct from seq + 1
+""",
+    "p2_rescued": """
+with once as (select file_id, row_no, max(payload) as payload from policy_file_row group by file_id, row_no),
+heads as (select file_id, row_no, key as header, regexp_replace(lower(key), '[^a-z0-9]', '', 'g') as hkey, json_type(value) as jt, value from once, json_each(payload)),
+mapped as (
+  select distinct on (hkey) regexp_replace(lower(header), '[^a-z0-9]', '', 'g') as hkey, logical_field, preference
+  from field_map order by hkey, preference nulls last, logical_field),
+seen as (
+  select h.*, coalesce(m.logical_field, h.hkey) as field, coalesce(m.preference, 1073741824) as pref,
+    case when coalesce(m.logical_field, h.hkey) = 'holdings_count' then jt in ('BIGINT', 'UBIGINT') and try_cast(value as bigint) is not null
+      else jt = 'VARCHAR' and coalesce(m.logical_field, h.hkey) in ('institution_format_id', 'name', 'extensions', 'mime_types', 'category', 'description', 'risk_level', 'preservation_action', 'preferred_tools') end as fits
+  from heads h left join mapped m using (hkey) where jt <> 'NULL'),
+ranked as (select *, row_number() over (partition by file_id, row_no, field, fits order by pref, hkey, header) as n from seen)
+select file_id, field as field_name, count(*) as n_values, count(*) filter (where not (fits and n = 1)) as n_rescued from ranked group by file_id, field
 """,
     "p6_found": f"""
 with snaps as (

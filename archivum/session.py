@@ -75,12 +75,24 @@ class Scratch:
         self._paths[path] = name
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_parts(self, df: DataFrame, by: str, name: str) -> DataFrame:
+        """``save`` into one folder per value of ``by``, so that readers of a value read nothing else."""
+        path = f"{self.base}/{name}-{len(self._paths)}"
+        df.write.option("compression", "zstd").partitionBy(by).parquet(path)
+        self._paths[path] = name
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, name: str) -> None:
         """Delete the tables saved under ``name``; nothing may read them any more."""
         for path in [p for p, n in self._paths.items() if n == name]:
             _delete(self.spark, path)
             self._paths[path] = ""
 
+    def drop_part(self, name: str, part: str) -> None:
+        """Delete one folder (``column=value``) of tables saved by ``save_parts``."""
+        for path in [p for p, n in self._paths.items() if n == name]:
+            _delete(self.spark, f"{path}/{part}")
+
     def close(self) -> None:
         _delete(self.spark, self.base)
 

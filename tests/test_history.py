@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from archivum.operators import history
+from archivum.session import Scratch
 
 RUNS = "run_id string, institution_id string, as_of_day string, status string"
 ROWS = "overlay_id bigint, run_id string, institution_format_id string, local_risk_level string, local_preservation_action string, recorded_at timestamp_ntz, extra string"
@@ -19,7 +20,7 @@ def rows(spark, cells):
 
 
 def found(df):
-    return sorted(tuple(r) for r in df.select("institution_format_id", "risk_level", "valid_from", "valid_to", "is_current").collect())
+    return sorted((tuple(r) for r in df.select("institution_format_id", "risk_level", "valid_from", "valid_to", "is_current").collect()), key=str)
 
 
 CELLS = [
@@ -64,3 +65,22 @@ def test_as_of(spark):
 
 def test_empty_tables(spark):
     assert history.overlay_history(rows(spark, CELLS).limit(0), runs(spark).limit(0)).count() == 0
+
+
+def test_a_stored_dimension_merged_run_by_run(spark):
+    got = history.overlay_history_by_runs(rows(spark, CELLS), runs(spark), Scratch(spark, "t"))
+    assert found(got.where("institution_format_id is not null")) == sorted(WANT)
+    null = found(got.where("institution_format_id is null"))
+    assert null == [(None, "", "2024-04-01", "9999-12-31", True)]
+    assert found(got) == found(history.overlay_history(rows(spark, CELLS), runs(spark)))
+
+
+def test_runs_of_one_day_follow_their_ids(spark):
+    two = spark.createDataFrame([("b", "i", "2024-01-01", "completed"), ("a", "i", "2024-01-01", "completed")], RUNS)
+    assert [r["run_id"] for r in history.overlay_periods(two).orderBy("seq").collect()] == ["a", "b"]
+
+
+def test_empty_tables_run_by_run(spark):
+    assert history.overlay_history_by_runs(rows(spark, CELLS).limit(0), runs(spark).limit(0), Scratch(spark, "t")).count() == 0
+    closed = history.overlay_history_by_runs(rows(spark, CELLS).limit(0), runs(spark), Scratch(spark, "t"))
+    assert closed.count() == 0
