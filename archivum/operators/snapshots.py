@@ -1,15 +1,21 @@
 """Differences between consecutive full snapshots by invertible Bloom lookup tables.
 
 Each record of a content is a pair (key hash, row hash).  Its hash bucket and
-``HASHES`` cells of that bucket take part in sums that are combined before the
-shuffle: count, xor of the keys, xor of the rows, xor of a checksum.  What is
-moved for a content is therefore its cells, not its records.  The tables of two
-contents are subtracted cell by cell; equal records cancel, and the rest is
-peeled.  A bucket whose cells do not come out empty, or whose digest (an
-independent sum over the whole bucket) differs from that of the recovered
-pairs, is built again with ``GROWTH`` times the cells and other hash functions,
-until none is left.  Recovered keys are classified (once on either side:
-changed) and joined back to the records for their ids.
+``HASHES`` cells of that bucket take part in sums: count, key, row and a checksum,
+each hash in halves of 32 bits, so that sums are exact and a cell of n equal
+pairs gives the pair back by division.  Every task sums up the tables of the
+records it reads before anything is shuffled: what is moved for a content is its
+cells, not its records.  The tables of two contents are subtracted cell by cell;
+equal records cancel, and the rest is peeled.  A bucket whose cells do not come
+out empty, or whose digest (an independent sum over the whole bucket) differs
+from that of the recovered pairs, is built again with ``GROWTH`` times the cells
+and other hash functions, until none is left; a bucket that has as many cells as
+records can always be peeled, so that ends.  Recovered keys are looked up in the
+records of both contents, which verifies them, drops what was only repeated in
+one of them and gives the ids; keys that both hold with other rows are changed.
+
+The number of cells follows the expected difference: it is measured on one hash
+bucket in ``PROBE`` of the records, exactly, before the tables are laid out.
 
 Hot groups: a source with a third of all rows is cut into hash buckets like any
 other; a peeling task holds one bucket's cells.  The number of buckets follows
@@ -24,20 +30,26 @@ keys that are null are one key, the empty one.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.functions.text import fold, strip
 from archivum.session import Scratch, table
 
 HASHES = 3
-BUCKET_ROWS = 512
-FIRST_CELLS = 192
+BUCKET_ROWS = 2048
 GROWTH = 4
+MOST_TURNS = 20
+#: One key in so many is compared directly, to lay out tables for the difference that is there.
+PROBE = 64
+#: Cells for each differing pair that is expected, and the fewest of a bucket.
+CELLS_A_PAIR, FEWEST_CELLS = 1.6, 48
+#: Sums that a task holds before it passes them on.
+_HELD = 1 << 22
 
 
 def contents(snapshots: DataFrame) -> DataFrame:
@@ -51,124 +63,193 @@ def contents(snapshots: DataFrame) -> DataFrame:
 
 
 def record_pairs(records: DataFrame) -> DataFrame:
-    """(content, key, kh, rh): one row per key of a content."""
+    """(content, key, kh, rh) of every delivered row."""
     key = F.lower(strip(F.coalesce(F.col("source_record_id"), F.lit(""))))
     as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
     texts = [fold(F.col(c)) for c in ("name", "category", "format_version")]
     digest = F.xxhash64(*[x for t in texts for x in (F.length(t), t)], *[x for c in ("extensions", "mime_types") for x in (F.size(as_set(c)), F.array_join(as_set(c), "\x1f", "\x1e"))])
-    pairs = records.select(F.col("snapshot_id").alias("content"), key.alias("key"), digest.alias("rh"))
-    return pairs.groupBy("content", "key").agg(F.max("rh").alias("rh")).withColumn("kh", F.xxhash64("key"))
+    return records.select(F.col("snapshot_id").alias("content"), key.alias("key"), digest.alias("rh")).withColumn("kh", F.xxhash64("key"))
 
 
-def _h(kh: Column, rh: Column, seed: int) -> Column:
-    return F.xxhash64(kh, rh, F.lit(seed).cast("bigint"))
+# --- hashing, the same for whole columns and single pairs -------------------------
 
+_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-def _cells(pairs: DataFrame, n_cells: int, turn: int) -> DataFrame:
-    """Sums of every (content, bucket, cell); cell -1 holds the digest of the bucket."""
-    part = n_cells // HASHES
-    k, r = F.col("kh"), F.col("rh")
-    places = [F.struct((F.lit(j * part) + F.pmod(_h(k, r, 100 * turn + j), F.lit(part))).cast("int").alias("cell"), _h(k, r, -1).alias("check")) for j in range(HASHES)]
-    places.append(F.struct(F.lit(-1).alias("cell"), _h(k, r, -2).alias("check")))
-    each = pairs.select("content", "bucket", "kh", "rh", F.explode(F.array(*places)).alias("p"))
-    return each.groupBy("content", "bucket", "p.cell").agg(F.count("*").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("rh").alias("rx"), F.bit_xor("p.check").alias("cx"))
 
+def mixed(k: np.ndarray, r: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of each pair under a seed."""
+    with np.errstate(over="ignore"):
+        x = (k.view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))) * _C1
+        x = (x ^ (x >> np.uint64(29)) ^ r.view(np.uint64)) * _C2
+        x = (x ^ (x >> np.uint64(32))) * _C1
+    return x ^ (x >> np.uint64(30))
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _high(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(32)).astype(np.int64)
 
-def _peel(n_cells: int, turn: int):
-    import xxhash
 
+def _places(k: np.ndarray, r: np.ndarray, n_cells: int, turn: int) -> list[np.ndarray]:
     part = n_cells // HASHES
+    return [(j * part + (mixed(k, r, 100 * turn + 10 + j) % np.uint64(part)).astype(np.int64)) for j in range(HASHES)]
 
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
-    def h(k: int, r: int, seed: int) -> int:
-        x = 42
-        for v in (k, r, seed):
-            x = xxhash.xxh64_intdigest(struct.pack("<q", v), x)
-        return signed(x)
-
-    def one(cells) -> list | None:
-        """The pairs in one bucket's difference, or None if it cannot be peeled to its digest."""
-        count, keys, rows, checks = {}, {}, {}, {}
-        for c in cells:
-            i = c["cell"]
-            count[i], keys[i], rows[i], checks[i] = int(c["n"]), int(c["kx"]), int(c["rx"]), int(c["cx"])
-        digest = [count.pop(-1, 0), keys.pop(-1, 0), rows.pop(-1, 0), checks.pop(-1, 0)]
-        out, todo = [], list(count)
-        while todo:
-            i = todo.pop()
-            n = count.get(i, 0)
-            if n not in (1, -1):
-                continue
-            k, r = keys[i], rows[i]
-            if h(k, r, -1) != checks[i]:
+
+def _weights(k: np.ndarray, r: np.ndarray, seed: int) -> np.ndarray:
+    """The seven summands of each pair; ``seed`` is that of the checksum."""
+    ku, ru = k.view(np.uint64), r.view(np.uint64)
+    return np.stack([np.ones(len(k), dtype=np.int64), _high(ku), _low(ku), _high(ru), _low(ru), _low(mixed(k, r, seed)), _high(mixed(k, r, seed))], axis=1)
+
+
+_SUMS = ["n", "kh1", "kh2", "rh1", "rh2", "c1", "c2"]
+_CHECK, _DIGEST = 1, 2
+
+
+def _tables(n_cells: int, turn: int, buckets: int):
+    """Sums per (content, bucket, cell) of the rows a task reads; cell -1 holds the digest of the bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+
+        def summed() -> pd.DataFrame:
+            return pd.concat(held).groupby(["content", "bucket", "cell"], sort=False, as_index=False).sum()
+
+        for b in batches:
+            if b.empty:
                 continue
-            out.append((k, r, n))
-            for j in range(HASHES):
-                p = j * part + h(k, r, 100 * turn + j) % part
-                if p not in count:
-                    return None
-                count[p] -= n
-                keys[p] ^= k
-                rows[p] ^= r
-                checks[p] ^= h(k, r, -1)
-                todo.append(p)
-        if any(count.values()) or any(keys.values()) or any(checks.values()):
+            k, r = b["kh"].to_numpy(dtype=np.int64), b["rh"].to_numpy(dtype=np.int64)
+            content, bucket = b["content"].to_numpy(), b["bucket"].to_numpy()
+            cells = [*_places(k, r, n_cells, turn), np.full(len(k), -1, dtype=np.int64)]
+            sums = np.concatenate([*[_weights(k, r, _CHECK)] * HASHES, _weights(k, r, _DIGEST)])
+            part = pd.DataFrame({"content": np.tile(content, HASHES + 1), "bucket": np.tile(bucket, HASHES + 1), "cell": np.concatenate(cells)} | {c: sums[:, n] for n, c in enumerate(_SUMS)})
+            held.append(part.groupby(["content", "bucket", "cell"], sort=False, as_index=False).sum())
+            size += len(held[-1])
+            if len(held) >= 16:
+                held = [summed()]
+                size = len(held[0])
+            if size >= _HELD:
+                yield summed()
+                held, size = [], 0
+        if held:
+            yield summed()
+
+    return run
+
+
+def _peel(n_cells: int, turn: int):
+    def one(cell: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The pairs in one bucket's difference and their counts, or None if it cannot be peeled to its digest."""
+        table, digest = np.zeros((n_cells, len(_SUMS)), dtype=np.int64), np.zeros(len(_SUMS), dtype=np.int64)
+        for c, row in zip(cell, sums):
+            if c < 0:
+                digest += row
+            else:
+                table[c] += row
+        found = []
+        while True:
+            live = np.flatnonzero(table[:, 0])
+            if not len(live):
+                break
+            n, s = table[live, 0], table[live]
+            # All of a cell's pairs may be one: then its count divides every sum, and the checksum is right.
+            whole = (s[:, 1:] % n[:, None] == 0).all(axis=1)
+            live, n, q = live[whole], n[whole], s[whole, 1:] // n[whole][:, None]
+            inside = ((q >= 0) & (q < 1 << 32)).all(axis=1)
+            live, n, q = live[inside], n[inside], q[inside]
+            k = ((q[:, 0].astype(np.uint64) << np.uint64(32)) | q[:, 1].astype(np.uint64)).view(np.int64)
+            r = ((q[:, 2].astype(np.uint64) << np.uint64(32)) | q[:, 3].astype(np.uint64)).view(np.int64)
+            check = mixed(k, r, _CHECK)
+            ok = (_low(check) == q[:, 4]) & (_high(check) == q[:, 5])
+            # The cell must be one of the pair's own.
+            ok &= np.any([p == live for p in _places(k, r, n_cells, turn)], axis=0)
+            if not ok.any():
+                return None
+            pairs = pd.DataFrame({"k": k[ok], "r": r[ok], "n": n[ok]}).drop_duplicates(["k", "r"])
+            k, r, n = (pairs[c].to_numpy(dtype=np.int64) for c in ("k", "r", "n"))
+            w = _weights(k, r, _CHECK) * n[:, None]
+            for p in _places(k, r, n_cells, turn):
+                np.subtract.at(table, p, w)
+            found.append((k, r, n))
+            if len(found) > 10 * n_cells:
+                return None
+        if table.any():
             return None
-        for k, r, n in out:
-            digest[0] -= n
-            digest[1] ^= k
-            digest[2] ^= r
-            digest[3] ^= h(k, r, -2)
-        return None if any(digest) else out
+        k, r, n = (np.concatenate(x) if found else np.zeros(0, dtype=np.int64) for x in (zip(*found) if found else ((), (), ())))
+        digest -= (_weights(k, r, _DIGEST) * n[:, None]).sum(axis=0) if len(k) else 0
+        return None if digest.any() else (k, r, n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["before", "content", "bucket", "kh", "failed"]
         for b in batches:
             out = []
-            for before, content, bucket, cells in zip(b["before"], b["content"], b["bucket"], b["cells"]):
-                got = one(cells)
+            for before, content, bucket, cell, *sums in zip(b["before"], b["content"], b["bucket"], b["cell"], *[b[c] for c in _SUMS]):
+                got = one(np.asarray(cell, dtype=np.int64), np.stack([np.asarray(x, dtype=np.int64) for x in sums], axis=1))
                 if got is None:
-                    out.append((before, content, bucket, 0, 0, 0, True))
-                else:
-                    out.extend((before, content, bucket, k, r, n, False) for k, r, n in got)
+                    out.append(pd.DataFrame([(before, content, bucket, 0, True)], columns=columns))
+                elif len(got[0]):
+                    out.append(pd.DataFrame({"before": before, "content": content, "bucket": bucket, "kh": np.unique(got[0]), "failed": False}))
             if out:
-                yield pd.DataFrame(out, columns=["before", "content", "bucket", "kh", "rh", "n", "failed"])
+                yield pd.concat(out)
 
     return run
 
 
-def differing_pairs(pairs: DataFrame, steps: DataFrame, scratch: Scratch, first_cells: int = FIRST_CELLS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(before, content, kh, n) for every pair in only one of the two contents of a step; n is +1 or -1.
+def _expected(pairs: DataFrame, steps: DataFrame, buckets: int, probe: int) -> int:
+    """Differing pairs of the fullest bucket to be expected: all keys of one hash class in ``probe`` are compared directly."""
+    some = pairs.where(F.pmod(F.xxhash64("kh", F.lit(11)), F.lit(probe)) == 0).distinct().withColumnRenamed("content", "c")
+    by = some.join(_sides(steps), "c").groupBy("before", "content", "kh", "rh").agg(F.sum("sign").alias("n")).where("n != 0")
+    most = by.groupBy("before", "content").count().agg(F.max("count")).first()[0] or 0
+    return -(-(most + 2) * probe // buckets)
+
+
+def _sides(steps: DataFrame) -> DataFrame:
+    """Each step's two contents: (before, content, c, sign)."""
+    each = F.explode(F.array(F.struct(F.col("content").alias("c"), F.lit(1).alias("sign")), F.struct(F.col("before").alias("c"), F.lit(-1).alias("sign"))))
+    return steps.select("before", "content", each.alias("s")).select("before", "content", "s.c", "s.sign")
+
+
+def differing_keys(pairs: DataFrame, steps: DataFrame, scratch: Scratch, first_cells: int | None = None, bucket_rows: int = BUCKET_ROWS, probe: int = PROBE) -> DataFrame:
+    """(before, content, kh) for every key with a pair in only one of the two contents of a step, and for some that are repeated.
 
     ``pairs``: (content, kh, rh).  ``steps``: distinct (before, content), before and content non-null and different.
     """
+    kind = dict(steps.dtypes)["content"]
     largest = pairs.groupBy("content").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-largest // bucket_rows))
-    todo = pairs.withColumn("bucket", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int"))
-    sides = steps.select("before", "content", F.explode(F.array(F.struct(F.col("content").alias("c"), F.lit(1).alias("sign")), F.struct(F.col("before").alias("c"), F.lit(-1).alias("sign")))).alias("s")).select("before", "content", "s.c", "s.sign")
-    n_cells, turn, failed, done = -(-first_cells // HASHES) * HASHES, 0, None, []
+    wanted = first_cells or max(FEWEST_CELLS, int(_expected(pairs, steps, buckets, probe) * CELLS_A_PAIR))
+    n_cells, turn, failed, done = -(-wanted // HASHES) * HASHES, 0, None, []
+    todo = pairs.select("content", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket"), "kh", "rh")
+    sides = _sides(steps)
     while True:
         if failed is None:
-            cells = _cells(todo, n_cells, turn).withColumnRenamed("content", "c").join(sides, "c")
+            now, on = todo, sides
         else:
-            again = failed.join(sides, ["before", "content"])
-            need = again.select(F.col("c").alias("content"), "bucket").distinct()
-            cells = _cells(todo.join(need, ["content", "bucket"], "left_semi"), n_cells, turn).withColumnRenamed("content", "c").join(again, ["c", "bucket"])
-        diff = cells.groupBy("before", "content", "bucket", "cell").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.bit_xor("kx").alias("kx"), F.bit_xor("rx").alias("rx"), F.bit_xor("cx").alias("cx"))
+            on = failed.join(sides, ["before", "content"])
+            need = on.select(F.col("c").alias("content"), "bucket").distinct()
+            now = todo.join(need, ["content", "bucket"], "left_semi")
+        sums = now.mapInPandas(_tables(n_cells, turn, buckets), f"content {kind}, bucket int, cell int, " + ", ".join(f"{c} bigint" for c in _SUMS)).withColumnRenamed("content", "c")
+        # A table takes part in at most a few steps; its cells are signed and subtracted in one shuffle.
+        signed = sums.join(on, ["c"] if failed is None else ["c", "bucket"])
+        diff = signed.groupBy("before", "content", "bucket", "cell").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in _SUMS])
         # Cells that came out empty are not needed to peel.
-        live = diff.where("n != 0 or kx != 0 or rx != 0 or cx != 0")
-        tables = live.groupBy("before", "content", "bucket").agg(F.collect_list(F.struct("cell", "n", "kx", "rx", "cx")).alias("cells"))
-        got = scratch.save(tables.mapInPandas(_peel(n_cells, turn), "before int, content int, bucket int, kh bigint, rh bigint, n int, failed boolean"), f"peeled{turn}")
-        done.append(got.where("not failed").select("before", "content", "kh", "n"))
+        live = diff.where(" or ".join(f"{c} != 0" for c in _SUMS))
+        tables = live.groupBy("before", "content", "bucket").agg(F.collect_list(F.struct("cell", *_SUMS)).alias("x")).select("before", "content", "bucket", "x.cell", *[f"x.{c}" for c in _SUMS])
+        got = scratch.save(tables.mapInPandas(_peel(n_cells, turn), f"before {kind}, content {kind}, bucket int, kh bigint, failed boolean"), f"peeled{turn}")
+        done.append(got.where("not failed").select("before", "content", "kh"))
         failed = got.where("failed").select("before", "content", "bucket")
         if failed.isEmpty():
             break
         turn, n_cells = turn + 1, n_cells * GROWTH
+        if turn > MOST_TURNS:
+            raise RuntimeError(f"tables of {n_cells} cells for {bucket_rows} rows cannot be peeled")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.distinct()
 
 
 def snapshot_changes(records: DataFrame, snapshots: DataFrame, **sizes) -> DataFrame:
@@ -176,14 +257,19 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame, **sizes) -> DataF
     spark = records.sparkSession
     scratch = Scratch(spark, "snapshots")
     seq = scratch.save(contents(snapshots), "contents")
-    pairs = scratch.save(record_pairs(records), "pairs")
     moved = seq.where("before is not null and before != content")
-    diff = differing_pairs(pairs.select("content", "kh", "rh"), moved.select("before", "content").distinct(), scratch, **sizes)
-    kinds = diff.groupBy("before", "content", "kh").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    kinds = kinds.select("before", "content", "kh", F.when(F.col("lo") == F.col("hi"), F.when(F.col("lo") > 0, "added").otherwise("removed")).otherwise("changed").alias("change_kind"))
-    # Ids come from the side that has the record; only the keys found are looked up.
-    kinds = kinds.withColumn("holder", F.when(F.col("change_kind") == "removed", F.col("before")).otherwise(F.col("content")))
-    named = kinds.join(pairs.select(F.col("content").alias("holder"), "kh", "key"), ["holder", "kh"])
+    steps = moved.select("before", "content").distinct()
+    pairs = record_pairs(records)
+    # Hashes are written once: the tables are built from them, on demand more than once.
+    hashed = scratch.save(pairs.select("content", "kh", "rh"), "hashed")
+    keys = scratch.save(differing_keys(hashed, steps, scratch, **sizes), "keys")
+    # The records of the keys that were found, in both contents of their step: verified, classified, and their ids.
+    sides = keys.select("before", F.col("content").alias("after"), "kh", F.explode(F.array(F.col("content"), F.col("before"))).alias("content"))
+    held = sides.join(pairs, ["content", "kh"]).groupBy("before", "after", "content", "key").agg(F.max("rh").alias("rh"))
+    now, old = F.col("content") == F.col("after"), F.col("content") == F.col("before")
+    both = held.groupBy("before", "after", "key").agg(F.max(F.when(now, F.col("rh"))).alias("rh_now"), F.max(F.when(old, F.col("rh"))).alias("rh_old"))
+    kind = F.when(F.col("rh_old").isNull(), "added").when(F.col("rh_now").isNull(), "removed").when(F.col("rh_now") != F.col("rh_old"), "changed")
+    named = both.select("before", F.col("after").alias("content"), "key", kind.alias("change_kind")).where("change_kind is not null")
     return named.join(moved, ["before", "content"]).select("source_id", F.col("key").alias("source_record_id"), "snapshot_id", "change_kind")
 
 
