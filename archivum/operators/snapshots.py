@@ -3,10 +3,11 @@
 Each record of a content is a pair (key hash, row hash).  Its hash bucket and
 ``HASHES`` cells of that bucket take part in sums: count, key, row and a checksum,
 each hash in halves of 32 bits, so that sums are exact and a cell of n equal
-pairs gives the pair back by division.  Every task sums up the tables of the
-records it reads before anything is shuffled: what is moved for a content is its
-cells, not its records.  The tables of two contents are subtracted cell by cell;
-equal records cancel, and the rest is peeled.  A bucket whose cells do not come
+pairs gives the pair back by division.  Of the records only the two hashes are
+placed by bucket, where repeated ones fall together; each task sums up whole
+buckets, and what is moved between the contents is cells.  The tables of two
+contents are subtracted cell by cell; equal records cancel, and the rest is
+peeled.  A bucket whose cells do not come
 out empty, or whose digest (an independent sum over the whole bucket) differs
 from that of the recovered pairs, is built again with ``GROWTH`` times the cells
 and other hash functions, until none is left; a bucket that has as many cells as
@@ -200,7 +201,7 @@ def _peel(n_cells: int, turn: int):
 
 def _expected(pairs: DataFrame, steps: DataFrame, buckets: int, probe: int) -> int:
     """Differing pairs of the fullest bucket to be expected: all keys of one hash class in ``probe`` are compared directly."""
-    some = pairs.where(F.pmod(F.xxhash64("kh", F.lit(11)), F.lit(probe)) == 0).distinct().withColumnRenamed("content", "c")
+    some = pairs.where(F.pmod(F.xxhash64("kh", F.lit(11)), F.lit(probe)) == 0).select(F.col("content").alias("c"), "kh", "rh")
     by = some.join(_sides(steps), "c").groupBy("before", "content", "kh", "rh").agg(F.sum("sign").alias("n")).where("n != 0")
     most = by.groupBy("before", "content").count().agg(F.max("count")).first()[0] or 0
     return -(-(most + 2) * probe // buckets)
@@ -220,9 +221,11 @@ def differing_keys(pairs: DataFrame, steps: DataFrame, scratch: Scratch, first_c
     kind = dict(steps.dtypes)["content"]
     largest = pairs.groupBy("content").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-largest // bucket_rows))
-    wanted = first_cells or max(FEWEST_CELLS, int(_expected(pairs, steps, buckets, probe) * CELLS_A_PAIR))
+    placed = pairs.select("content", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket"), "kh", "rh")
+    # The same placing serves to drop repeated pairs, and every task then has whole buckets.
+    todo = scratch.save(placed.repartition("content", "bucket").dropDuplicates(["content", "bucket", "kh", "rh"]), "hashed")
+    wanted = first_cells or max(FEWEST_CELLS, int(_expected(todo, steps, buckets, probe) * CELLS_A_PAIR))
     n_cells, turn, failed, done = -(-wanted // HASHES) * HASHES, 0, None, []
-    todo = pairs.select("content", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket"), "kh", "rh")
     sides = _sides(steps)
     while True:
         if failed is None:
@@ -260,9 +263,7 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame, **sizes) -> DataF
     moved = seq.where("before is not null and before != content")
     steps = moved.select("before", "content").distinct()
     pairs = record_pairs(records)
-    # Hashes are written once: the tables are built from them, on demand more than once.
-    hashed = scratch.save(pairs.select("content", "kh", "rh"), "hashed")
-    keys = scratch.save(differing_keys(hashed, steps, scratch, **sizes), "keys")
+    keys = scratch.save(differing_keys(pairs.select("content", "kh", "rh"), steps, scratch, **sizes), "keys")
     # The records of the keys that were found, in both contents of their step: verified, classified, and their ids.
     sides = keys.select("before", F.col("content").alias("after"), "kh", F.explode(F.array(F.col("content"), F.col("before"))).alias("content"))
     held = sides.join(pairs, ["content", "kh"]).groupBy("before", "after", "content", "key").agg(F.max("rh").alias("rh"))
