@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivum.session import Scratch
+
 from archivum.functions.normalize import match_words, puid_variants
 
 #: Priority of a match tier (fixed values).
@@ -108,7 +110,22 @@ def puid_order(c: Column) -> list[Column]:
     return [F.regexp_extract(c, r"^([^/]*)/", 1), F.regexp_extract(c, r"/(\d+)$", 1).try_cast("int")]
 
 
-def references(df: DataFrame, partition: list[str], order: list) -> DataFrame:
-    """Reference numbers E001, E002, ... in a stable order."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    return df.withColumn("reference", F.concat(F.lit("E"), F.lpad(n.cast("string"), 3, "0")))
+def references(df: DataFrame, partition: list[str], order: list, most: int | None = None) -> DataFrame:
+    """Reference numbers E001, E002, ... (E1000 after E999) in a stable order; with ``most`` only the first ones."""
+    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
+    if most is not None:
+        numbered = numbered.where(F.col("__n") <= most)
+    return numbered.withColumn("reference", F.format_string("E%03d", "__n")).drop("__n")
+
+
+def places(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Add ``place``, 1 for the first row in order: ranges are numbered where they are and moved on by what lies before them."""
+    spark = df.sparkSession
+    scratch = Scratch(spark, "places")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.save(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranged")
+    # One row per range, of which there are as many as partitions.
+    sizes = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())
+    starts = F.create_map(*[F.lit(x).cast("bigint") for n, (k, _) in enumerate(sizes) for x in (k, sum(c for _, c in sizes[:n]))]) if sizes else F.create_map(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("place", (local + F.element_at(starts, F.col("__range").cast("bigint"))).cast("bigint")).drop("__range")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archivum.functions.text import fold
@@ -97,7 +98,9 @@ def banded(t):
 _ANS = f"""cl as (select distinct response_id, canonical_id, question_id, institution_id, {sql_fold('answer_text')} as v from question_response where canonical_id is not null and answer_text is not null and trim(answer_text) <> ''),
   got as (select cl.*, f.answer_id, f.points from cl left join framework_answer f on f.question_id = cl.question_id and lower(f.label) = cl.v),
   d as (select canonical_id, question_id, arg_max(answer_id, (points, answer_id)) filter (answer_id is not null) as answer_id, max(points) as points, count(*) as n_claims, count(distinct answer_id) as n_answers from got group by 1, 2),
-  fm as (select distinct canonical_id from format_registry where canonical_id is not null), qs as (select question_id, 1.0 + (min(points) > 0)::int as weight, question_id in ('q_loss', 'q_tools') as critical from framework_answer group by 1)"""
+  da as (select *, answer_id is not null and answer_id <> 'impossible' as answered from d),
+  fm as (select distinct canonical_id from format_registry where canonical_id is not null), qs as (select question_id, 1.0 + (min(points) > 0)::int as weight, question_id in ('q_loss', 'q_tools') as critical,
+    case when question_id in ('q_staff', 'q_size') then 'local_institutional_feasibility' when question_id = 'q_selfdoc' then 'essential_characteristics' when question_id in ('q_openness', 'q_validation') then 'technical' else '' end as domain_id from framework_answer group by 1)"""
 
 
 def _claims(t):
@@ -105,14 +108,23 @@ def _claims(t):
     return rows.select("response_id", "canonical_id", F.col("question_id").alias("field"), fold(F.col("answer_text")).alias("value"), F.col("institution_id").alias("source_id"))
 
 
+def _domain():
+    return F.when(F.col("question_id").isin("q_staff", "q_size"), evidence.LOCAL_DOMAIN).when(F.col("question_id") == "q_selfdoc", evidence.CONTENT_DOMAIN).when(F.col("question_id").isin("q_openness", "q_validation"), "technical").otherwise("")
+
+
+def _answers(t):
+    # A validity that cannot be decided is no answer.
+    return t.framework_answer.select("question_id", "answer_id", "points", (F.col("answer_id") == "impossible").alias("abstention"))
+
+
 def _questions(t):
-    return t.framework_answer.groupBy("question_id").agg((F.lit(1.0) + (F.min("points") > 0).cast("int")).alias("weight")).withColumn("critical", F.col("question_id").isin("q_loss", "q_tools"))
+    return t.framework_answer.groupBy("question_id").agg((F.lit(1.0) + (F.min("points") > 0).cast("int")).alias("weight")).withColumn("critical", F.col("question_id").isin("q_loss", "q_tools")).withColumn("domain_id", _domain())
 
 
 def _derived(t):
     fields = t.framework_answer.select("question_id", F.col("question_id").alias("field")).distinct()
     labels = t.framework_answer.select("question_id", F.lower("label").alias("value"), "answer_id")
-    return evidence.derive_answers(_claims(t), fields, t.framework_answer.select("question_id", "answer_id", "points"), labels)
+    return evidence.derive_answers(_claims(t), fields, _answers(t), labels)
 
 
 def _formats(t):
@@ -121,33 +133,76 @@ def _formats(t):
 
 @query("a10_derived_answers", f"with {_ANS} select canonical_id, question_id, answer_id, points, case when n_answers = 0 then 'unknown' when n_answers = 1 then 'derived' else 'derived_conflict_conservative' end as status, n_claims, n_answers from d")
 def derived(t):
-    return _derived(t)
+    return _derived(t).drop("abstention")
 
 
-@query("a11_scores", f"""with {_ANS}, s as (select canonical_id, sum(weight * points) as score, count(*) as n_answered, count(*) filter (critical) as nc from d join qs using (question_id) where answer_id is not null group by 1)
+_SCORES = f"""{_ANS}, s as (select canonical_id, sum(weight * points) as score, count(*) as n_answered, count(*) filter (critical) as nc from da join qs using (question_id) where answered group by 1)
   select fm.canonical_id, round(coalesce(score, 0), 4) as score, coalesce(n_answered, 0) as n_answered, round(coalesce(n_answered, 0) / (select count(*) from qs), 4) as completeness,
     case when coalesce(n_answered, 0) = 0 then 'Not Assessed' when coalesce(nc, 0) < (select count(*) from qs where critical) then 'Needs Assessment' when n_answered < (select count(*) from qs) then 'Partially Assessed' else 'Assessed' end as status,
-    case when coalesce(n_answered, 0) = 0 then 'not_assessed' when coalesce(nc, 0) < (select count(*) from qs where critical) then 'critical_missing' when n_answered / (select count(*) from qs) < 0.5 then 'incomplete' end as suppressed_reason from fm left join s using (canonical_id)""")
+    REASON as suppressed_reason from fm left join s using (canonical_id)"""
+
+
+@query("a11_scores", "with " + _SCORES.replace("REASON", "case when coalesce(n_answered, 0) = 0 then 'not_assessed' when coalesce(nc, 0) < (select count(*) from qs where critical) then 'critical_abstention' when n_answered / (select count(*) from qs) < 0.5 then 'insufficient_evidence_completeness' end"))
 def scores(t):
     return evidence.score(_formats(t), _questions(t), _derived(t), 0.5).withColumn("score", F.round("score", 4))
 
 
+@query("a11_scores_uncalibrated", "with " + _SCORES.replace("REASON", "'framework_not_calibrated'"))
+def scores_uncalibrated(t):
+    return evidence.score(_formats(t), _questions(t), _derived(t), 0.5, banding=False).withColumn("score", F.round("score", 4))
+
+
 @query("a13_max_score", f"with {_ANS} select sum(weight * p) as max_score from qs join (select question_id, max(points) as p from framework_answer group by 1) using (question_id)")
 def max_score(t):
     return evidence.max_score(_questions(t), t.framework_answer)
 
 
-_GAP = f"{_ANS}, g as (select fm.canonical_id, qs.question_id, critical, case when d.canonical_id is null then 'missing_evidence' when n_answers = 0 then 'unmapped_evidence' when n_answers > 1 then 'conflicting_evidence' end as gap from fm cross join qs left join d on d.canonical_id = fm.canonical_id and d.question_id = qs.question_id)"
+_GAP = f"""{_ANS}, g as (select fm.canonical_id, qs.question_id, critical, case when d.canonical_id is null then 'no_matching_evidence' else 'claims_exist_but_do_not_map' end as gap, coalesce(n_claims, 0) as n_claims,
+    case when d.canonical_id is not null then 'deterministic_mapping_review' when domain_id = 'local_institutional_feasibility' then 'institution_evidence_required' when domain_id = 'essential_characteristics' then 'content_specific_assessment_required'
+      when domain_id <> '' then 'automated_evidence_research_required' else 'source_evidence_required' end as work_type
+    from fm cross join qs left join d on d.canonical_id = fm.canonical_id and d.question_id = qs.question_id where d.canonical_id is null or d.n_answers = 0),
+  it as (select *, case when critical then 'P1' when work_type in ('deterministic_mapping_review', 'institution_evidence_required', 'content_specific_assessment_required') then 'P2' else 'P3' end as p from g)"""
 
 
-@query("a25_a26_gaps", f"with {_GAP} select question_id, gap, count(*) as n from g where gap is not null group by 1, 2")
+def _gaps(t):
+    return evidence.gaps(_formats(t), _questions(t), _derived(t))
+
+
+@query("a25_a26_gaps", f"with {_GAP} select question_id, gap, work_type, count(*) as n from g group by 1, 2, 3")
 def gap_summary(t):
-    return audit.count_by(evidence.gaps(_formats(t), _questions(t), _derived(t)), "question_id", "gap")
+    return audit.count_by(_gaps(t), "question_id", "gap", "work_type")
+
+
+_CLASSES = f"""{_GAP}, per as (select canonical_id, count(*) as n_gaps, count(*) filter (gap like 'claims%') as u, count(*) filter (gap like 'no_%') as z from g group by 1), nc as (select canonical_id, count(*) as n from cl group by 1),
+  classes as (select fm.canonical_id, case when n_gaps is null then 'none' when u > 0 and z > 0 then 'mixed_mapping_and_evidence_gaps' when u > 0 then 'claims_exist_but_do_not_map' when n is null then 'no_evidence'
+      when not exists (select 1 from d where d.canonical_id = fm.canonical_id) then 'claims_exist_but_not_for_framework' else 'missing_matching_evidence' end as gap_classification, coalesce(n_gaps, 0) as n_gaps, coalesce(n, 0) as n_claims
+    from fm left join per using (canonical_id) left join nc using (canonical_id))"""
+
+
+@query("a25_gap_classes", f"with {_CLASSES} select * from classes")
+def gap_classes(t):
+    return evidence.gap_classes(_formats(t), _gaps(t), _claims(t), _derived(t))
+
+
+@query("a26_gap_class_counts", f"with {_CLASSES} select gap_classification, count(*) as n from classes group by 1")
+def gap_class_counts(t):
+    return audit.count_by(gap_classes(t), "gap_classification")
 
 
-@query("a27_remediation", f"with {_GAP}, l as (select *, case when critical then 'P1' when gap <> 'missing_evidence' then 'P2' else 'P3' end as p from g where gap is not null) select canonical_id, count(*) filter (p = 'P1') as p1, count(*) filter (p = 'P2') as p2, count(*) filter (p = 'P3') as p3, count(*) as n_gaps, case when count(*) filter (p = 'P1') > 0 then 'P1' when count(*) filter (p = 'P2') > 0 then 'P2' else 'P3' end as priority from l group by 1")
+@query("o7_gap_order", f"with {_GAP} select canonical_id, count(*) as n_gaps from g group by 1 order by 2 desc, 1 limit 25")
+def gap_order(t):
+    return evidence.gap_order(_gaps(t)).limit(25)
+
+
+@query("a27_items", f"""with {_GAP} select canonical_id, question_id, p as priority, case work_type when 'deterministic_mapping_review' then 'mapping_rule_needed' when 'institution_evidence_required' then 'institution_evidence_needed'
+  when 'content_specific_assessment_required' then 'content_specific_assessment_needed' when 'automated_evidence_research_required' then 'automated_evidence_research' else 'source_evidence_needed' end as action_type from it""")
+def remediation_items(t):
+    return evidence.remediation_items(_gaps(t)).select("canonical_id", "question_id", "priority", "action_type")
+
+
+@query("a27_remediation", f"with {_GAP} select canonical_id, count(*) filter (p = 'P1') as p1, count(*) filter (p = 'P2') as p2, count(*) filter (p = 'P3') as p3, count(*) as n_gaps, case when count(*) filter (p = 'P1') > 0 then 'P1' when count(*) filter (p = 'P2') > 0 then 'P2' else 'P3' end as priority from it group by 1")
 def remediation(t):
-    return evidence.remediation(evidence.gaps(_formats(t), _questions(t), _derived(t)))
+    return evidence.remediation(_gaps(t))
 
 
 @query("a30_conflict_combinations", f"with {_ANS}, c as (select canonical_id, question_id, string_agg(distinct answer_id, ' vs ' order by answer_id) as combination from got where answer_id is not null group by 1, 2 having count(distinct answer_id) > 1) select question_id, combination, count(*) as n_formats from c group by 1, 2")
@@ -238,32 +293,79 @@ def profiles(t):
     return policy.assign_profiles(t.documents.select("doc_id", "text"), PROFILES, "text").select("doc_id", F.array_join("profiles", ",").alias("profiles"))
 
 
-_POL = """pol as (select distinct canonical_id, overlay_id as policy_id, case when local_preferred_tools is null then 0 else 1 end as specificity, case when overlay_id % 7 = 0 then 'suppress' when overlay_id % 3 = 0 then 'supplement' else 'replace' end as mode, lower(trim(local_preservation_action)) as action
-  from institution_policy_overlay where canonical_id is not null and trim(local_preservation_action) <> '')"""
+_POL = f"""base as (select distinct canonical_id, institution_id, overlay_id, recorded_at, coalesce(source_row, 0) as specificity, case when local_preservation_plan is null then 'supplement' else 'replace' end as mode, {sql_fold('local_preservation_action')} as action
+    from institution_policy_overlay where canonical_id is not null),
+  pol as (select *, lag(overlay_id) over (partition by canonical_id, institution_id order by recorded_at, overlay_id) as gone from base),
+  chosen as (select canonical_id, arg_max(overlay_id, (specificity, overlay_id)) as chosen from pol where mode = 'replace' group by 1),
+  sup as (select distinct canonical_id, gone as overlay_id from pol where gone is not null),
+  outcome as (select p.*, case when s.overlay_id is not null then 'explicitly_suppressed' when mode = 'replace' and p.overlay_id <> chosen then 'less_specific' else 'applied' end as outcome
+    from pol p left join chosen using (canonical_id) left join sup s on s.canonical_id = p.canonical_id and s.overlay_id = p.overlay_id)"""
+#: Actions that exclude each other.
+_EXCLUDE = [("return to depositor", "keep as received"), ("normalise on ingest", "store bit-level only")]
+
+
+def _policies(t):
+    """Each recorded row as a policy: its row number how specific it is, a later one of its institution suppresses it."""
+    before = F.lag("overlay_id").over(Window.partitionBy("canonical_id", "institution_id").orderBy("recorded_at", "overlay_id"))
+    rows = t.institution_policy_overlay.where("canonical_id is not null").select("canonical_id", "institution_id", "overlay_id", "recorded_at", "source_row", "local_preservation_plan", fold(F.col("local_preservation_action")).alias("action")).distinct()
+    return rows.withColumn("before", before).select(
+        "canonical_id", F.col("overlay_id").alias("policy_id"), F.coalesce("source_row", F.lit(0)).alias("specificity"), F.when(F.col("local_preservation_plan").isNull(), "supplement").otherwise("replace").alias("mode"),
+        F.array("action").alias("actions"), F.array_compact(F.array("before")).alias("suppresses"),
+    )
+
+
+@query("r6_policy_outcomes", f"with {_POL} select canonical_id, overlay_id as policy_id, outcome from outcome")
+def policy_outcomes(t):
+    return policy.policy_outcomes(_policies(t)).select("canonical_id", "policy_id", "outcome")
 
 
-@query("r6_actions", f"""with {_POL}, rep as (select canonical_id, arg_max(action, (specificity, policy_id)) as action, max(specificity) as s from pol where mode = 'replace' group by 1),
-  cl as (select p.canonical_id, count(distinct p.action) > 1 as clash from pol p join rep on rep.canonical_id = p.canonical_id and rep.s = p.specificity where mode = 'replace' group by 1),
-  want as (select canonical_id, action from rep union select canonical_id, action from pol where mode = 'supplement'),
-  lft as (select * from want w where not exists (select 1 from pol p where p.mode = 'suppress' and p.canonical_id = w.canonical_id and p.action = w.action))
-  select distinct c.canonical_id, case when not coalesce(cl.clash, false) then lft.action end as action, coalesce(cl.clash, false) as configuration_error from (select distinct canonical_id from pol) c left join cl using (canonical_id) left join lft using (canonical_id)""")
+@query("r6_actions", f"""with {_POL}, applied as (select distinct canonical_id, action from outcome where outcome = 'applied' and action <> ''),
+  e1 as (select distinct canonical_id from (select canonical_id from pol where mode = 'replace' group by canonical_id, specificity having count(*) > 1)),
+  e2 as (select distinct a.canonical_id from applied a join applied b using (canonical_id) where (a.action, b.action) in (('return to depositor', 'keep as received'), ('normalise on ingest', 'store bit-level only'))),
+  err as (select c.canonical_id, concat_ws(',', case when e1.canonical_id is not null then 'same_specificity_replace_conflict' end, case when e2.canonical_id is not null then 'conflicting_actions' end) as errors
+    from (select distinct canonical_id from pol) c left join e1 using (canonical_id) left join e2 using (canonical_id))
+  select distinct err.canonical_id, case when errors = '' then a.action end as action, errors from err left join applied a using (canonical_id)""")
 def actions(t):
-    rows = t.institution_policy_overlay.where("canonical_id is not null and trim(local_preservation_action) != ''").select(
-        "canonical_id", F.col("overlay_id").alias("policy_id"), F.when(F.col("local_preferred_tools").isNull(), 0).otherwise(1).alias("specificity"),
-        F.when(F.col("overlay_id") % 7 == 0, "suppress").when(F.col("overlay_id") % 3 == 0, "supplement").otherwise("replace").alias("mode"), F.lower(F.trim("local_preservation_action")).alias("action"),
-    ).distinct()
-    return policy.action_policies(rows)
+    return policy.action_policies(_policies(t), t.spark.createDataFrame(_EXCLUDE, "action_a string, action_b string"))
+
+
+_LOCAL = f"""x as (select distinct overlay_id, case {sql_fold('local_risk_level')} when 'low risk' then 'Low' when 'medium risk' then 'Moderate' when 'high risk' then 'High' when 'severe risk' then 'High' when '' then null when 'not assessed' then 'Not Assessed' else 'Unknown' end as band,
+    case when local_preferred_tools is not null and local_preservation_plan is not null then 'Covered' when local_preferred_tools is not null or local_preservation_plan is not null then 'Partially Covered' when {sql_fold('local_preservation_action')} <> '' then 'Uncovered' end as readiness,
+    case when source_row is null then 'Unknown' when source_row < 50 then 'Low' when source_row < 200 then 'Moderate' else 'High' end as exposure, {sql_fold('local_preservation_action')} = '' as undecided from institution_policy_overlay),
+  y as (select *, case when band is null or band in ('Unknown', 'Not Assessed') then 'Needs Assessment' when band = 'High' then 'High' when readiness is null then 'Needs Assessment' when readiness = 'Uncovered' then case band when 'Moderate' then 'High' else 'Moderate' end else band end as posture from x)"""
+
 
+def _local(t):
+    level, tools, plan = fold(F.col("local_risk_level")), F.col("local_preferred_tools").isNotNull(), F.col("local_preservation_plan").isNotNull()
+    band = F.when(level == "low risk", "Low").when(level == "medium risk", "Moderate").when(level.isin("high risk", "severe risk"), "High").when(level == "not assessed", "Not Assessed").when(level != "", "Unknown")
+    ready = F.when(tools & plan, "Covered").when(tools | plan, "Partially Covered").when(fold(F.col("local_preservation_action")) != "", "Uncovered")
+    row = F.col("source_row")
+    exposure = F.when(row.isNull(), "Unknown").when(row < 50, "Low").when(row < 200, "Moderate").otherwise("High")
+    return t.institution_policy_overlay.select("overlay_id", band.alias("band"), ready.alias("readiness"), exposure.alias("exposure"), (fold(F.col("local_preservation_action")) == "").alias("undecided")).distinct()
 
-@query("r7_posture", """with x as (select event_id, case when value < 30 then 'Low' when value < 60 then 'Moderate' else 'High' end as band, case when event_id % 3 = 0 then 'not_ready' when event_id % 3 = 1 then 'ready' else 'partial' end as readiness from events)
-  select event_id, case when band = 'Low' then 'monitor' when band = 'Moderate' and readiness <> 'not_ready' then 'plan' when band = 'Moderate' then 'act' when readiness <> 'not_ready' then 'act' else 'act_now' end as posture, band = 'High' and (event_id % 2 = 0)::int + (readiness = 'not_ready')::int + (event_id % 5 = 0)::int >= 2 as alert from x""")
+
+@query("r7_posture", f"with {_LOCAL} select overlay_id, posture, coalesce(band = 'High', false) and (exposure = 'High')::int + coalesce(readiness = 'Uncovered', false)::int + undecided::int >= 2 as alert from y")
 def postures(t):
-    band = F.when(F.col("value") < 30, "Low").when(F.col("value") < 60, "Moderate").otherwise("High")
-    ready = F.when(F.col("event_id") % 3 == 0, "not_ready").when(F.col("event_id") % 3 == 1, "ready").otherwise("partial")
-    return t.events.select("event_id", policy.posture(band, ready).alias("posture"), policy.critical_alert(band, F.col("event_id") % 2 == 0, ready == "not_ready", F.col("event_id") % 5 == 0).alias("alert"))
+    alert = policy.critical_alert(F.col("band"), F.col("exposure") == "High", F.col("readiness") == "Uncovered", F.col("undecided"))
+    return _local(t).select("overlay_id", policy.posture(F.col("band"), F.col("readiness")).alias("posture"), alert.alias("alert"))
+
+
+@query("o11_triage", f"with {_LOCAL} select overlay_id, case posture when 'Low' then 0 when 'Moderate' then 1 else 2 end as posture_rank, case exposure when 'Low' then 0 when 'High' then 2 else 1 end as exposure_rank from y")
+def triage(t):
+    rows = _local(t).select("overlay_id", policy.triage_rank(policy.posture(F.col("band"), F.col("readiness")), F.col("exposure")).alias("r"))
+    return rows.select("overlay_id", "r.posture_rank", "r.exposure_rank")
 
 
-@query("v9_currency", "select run_id, case when f then 'rescore' when e then 'reassess' when p then 'resynthesize' else 'none' end as minimum_refresh, f::int + p::int + e::int as n_reasons from (select run_id, status <> 'completed' as f, as_of_day < '2022-01-01' as p, finished_at is null as e from registry_run)")
+@query("v9_currency", """with o as (select distinct overlay_id, institution_id, institution_format_id, recorded_at, local_risk_level as e, local_preservation_action as a, local_preservation_plan as p from institution_policy_overlay),
+  w as (select *, lag(overlay_id) over k as was, lag(e) over k as pe, lag(a) over k as pa, lag(p) over k as pp from o window k as (partition by institution_id, institution_format_id order by recorded_at, overlay_id)),
+  r as (select overlay_id, list_filter([case when e is distinct from pe then 'evidence' end, case when a is distinct from pa then 'analysis' end, case when p is distinct from pp then 'policy' end], lambda x: x is not null) as reasons from w where was is not null)
+  select overlay_id, case when len(reasons) = 0 then 'current' else 'stale' end as recommendation_status, array_to_string(reasons, ',') as stale_reason,
+    case when len(reasons) = 0 then 'none' when len(reasons) > 1 then 'full_refresh' when reasons[1] = 'evidence' then 'rebuild_evidence_pack_and_rerun_analysis' when reasons[1] = 'analysis' then 'rerun_analysis_and_action_resolution' else 'rerun_action_resolution_only' end as minimum_refresh from r""")
 def currency(t):
-    c = policy.currency(F.col("finished_at").isNull(), F.col("as_of_day") < "2022-01-01", F.col("status") != "completed")
-    return t.registry_run.select("run_id", c.alias("c")).select("run_id", "c.minimum_refresh", F.size("c.stale_reasons").cast("bigint").alias("n_reasons"))
+    """Each recorded row against the one before it of its institution and format."""
+    parts = {"evidence": "local_risk_level", "analysis": "local_preservation_action", "policy": "local_preservation_plan"}
+    rows = t.institution_policy_overlay.select("overlay_id", "institution_id", "institution_format_id", "recorded_at", *parts.values()).distinct()
+    w = Window.partitionBy("institution_id", "institution_format_id").orderBy("recorded_at", "overlay_id")
+    rows = rows.withColumn("was", F.lag(F.struct("overlay_id", *parts.values())).over(w)).where("was is not null")
+    c = policy.currency({k: F.col(f"was.{c}") for k, c in parts.items()}, {k: F.col(c) for k, c in parts.items()})
+    return rows.select("overlay_id", c.alias("c")).select("overlay_id", "c.recommendation_status", F.array_join("c.stale_reason", ",").alias("stale_reason"), "c.minimum_refresh")

@@ -32,9 +32,9 @@ def copied(t):
 
 @query(
     "r8_mapping_status",
-    r"""with e as (select distinct evidence_id, coalesce(len(fmt.puids), 0) as n, description, trim(regexp_replace(translate(lower(coalesce(description, '')), '_-', '  '), '\s+', ' ', 'g')) as h from institution_format_evidence)
-    select evidence_id, case when n > 1 then 'direct_multiple_review' when n = 1 and regexp_matches(h, 'see also|broader|narrower|more than one|several|family|subset|version') then 'direct_single_review' when n = 1 then 'direct_single_candidate'
-      when regexp_matches(h, 'no match|no corresponding|no relevant|not found|none found') then 'no_mapping' when trim(description) <> '' then 'contextual_only' else 'unmapped' end as status from e""",
+    r"""with e as (select distinct evidence_id, coalesce(len(fmt.puids), 0) as n, trim(regexp_replace(lower(coalesce(description, '')), '\s+', ' ', 'g')) as h from institution_format_evidence)
+    select evidence_id, case when n > 1 then 'direct_multiple_review' when n = 1 and regexp_matches(h, 'not precisely|not exactly|not equivalent|does not distinguish|superclass|subtype|related format|see related|broader|narrower|family') then 'direct_single_review' when n = 1 then 'direct_single_candidate'
+      when regexp_matches(h, 'no relevant match|no corresponding|no match|does not have an? entry|not found') then 'no_mapping' when h <> '' then 'contextual_only' else 'unmapped' end as status from e""",
 )
 def mapping_status(t):
     e = t.institution_format_evidence.dropDuplicates(["evidence_id"])

@@ -312,15 +312,20 @@ def preferred_by_puid(t):
 
 @query("o1_o12_orders", f"with {_IDS}, p as (select distinct value from ids where kind = 'puid') select value, row_number() over (order by regexp_extract(value, '^([^/]*)/', 1), try_cast(nullif(regexp_extract(value, '/(\\d+)$', 1), '') as integer) nulls first, value) as place from p")
 def orders(t):
-    # The place in the order is what is reported, so one global window over the few distinct ids is meant.
     p = _ids(t).where("kind = 'puid'").select("value").distinct()
-    return p.select("value", F.row_number().over(Window.orderBy(*search.puid_order(F.col("value")), "value")).alias("place"))
+    return search.places(p, [*search.puid_order(F.col("value")), F.col("value")])
 
 
-@query("o14_w5_bounded_evidence", "select canonical_id, response_id, 'E' || lpad(cast(n as varchar), 3, '0') as reference from (select canonical_id, response_id, row_number() over (partition by canonical_id order by answered_at desc nulls last, response_id) as n from (select distinct canonical_id, response_id, answered_at from question_response where canonical_id is not null)) where n <= 80")
+@query("o14_w5_bounded_evidence", "select canonical_id, response_id, printf('E%03d', n) as reference from (select canonical_id, response_id, row_number() over (partition by canonical_id order by answered_at desc nulls last, response_id) as n from (select distinct canonical_id, response_id, answered_at from question_response where canonical_id is not null)) where n <= 80")
 def bounded_evidence(t):
     rows = t.question_response.where("canonical_id is not null").select("canonical_id", "response_id", "answered_at").distinct()
-    return search.references(rows, ["canonical_id"], [F.col("answered_at").desc_nulls_last(), F.col("response_id")]).where(F.substring("reference", 2, 9).cast("int") <= 80).select("canonical_id", "response_id", "reference")
+    return search.references(rows, ["canonical_id"], [F.col("answered_at").desc_nulls_last(), F.col("response_id")], most=80).select("canonical_id", "response_id", "reference")
+
+
+@query("w5_reference_numbers", "select institution_id, overlay_id, printf('E%03d', row_number() over (partition by institution_id order by recorded_at, overlay_id)) as reference from (select distinct institution_id, overlay_id, recorded_at from institution_policy_overlay)")
+def reference_numbers(t):
+    rows = t.institution_policy_overlay.select("institution_id", "overlay_id", "recorded_at").distinct()
+    return search.references(rows, ["institution_id"], [F.col("recorded_at"), F.col("overlay_id")]).select("institution_id", "overlay_id", "reference")
 
 
 @query("l1_puid_lookup", f"with {_IDS}, {_NAMES} select n.canonical_id, n.preferred_name, i.value as puid from names n join ids i on i.canonical_id = n.canonical_id and i.kind = 'puid' where {sql_fold('n.preferred_name')} like '%tagged transcript%'")

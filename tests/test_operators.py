@@ -147,7 +147,30 @@ def test_answers_conflict_and_missing(spark):
     score = {r["canonical_id"]: r for r in evidence.score(formats, questions, got).collect()}
     assert (score["f"]["score"], score["f"]["status"], score["h"]["status"], score["h"]["suppressed_reason"]) == (4.0, "Needs Assessment", "Not Assessed", "not_assessed")
     plan = {r["canonical_id"]: (r["p1"], r["p2"], r["p3"]) for r in evidence.remediation(evidence.gaps(formats, questions, got)).collect()}
-    assert plan == {"f": (1, 1, 1), "h": (1, 0, 2)}
+    # A conflict is no gap; a claim that maps to nothing is work on the mapping.
+    assert plan == {"f": (1, 0, 1), "h": (1, 0, 2)}
+    local = questions.withColumn("domain_id", F.when(F.col("question_id") == "q3", evidence.LOCAL_DOMAIN).otherwise("technical")).withColumn("critical", F.lit(False))
+    items = {(r["canonical_id"], r["question_id"]): (r["priority"], r["action_type"], r["gap"]) for r in evidence.remediation_items(evidence.gaps(formats, local, got)).collect()}
+    assert items == {
+        ("f", "q2"): ("P2", "mapping_rule_needed", "claims_exist_but_do_not_map"), ("f", "q3"): ("P2", "institution_evidence_needed", "no_matching_evidence"),
+        ("h", "q1"): ("P3", "automated_evidence_research", "no_matching_evidence"), ("h", "q2"): ("P3", "automated_evidence_research", "no_matching_evidence"), ("h", "q3"): ("P2", "institution_evidence_needed", "no_matching_evidence"),
+    }
+    classes = {r["canonical_id"]: r["gap_classification"] for r in evidence.gap_classes(formats, evidence.gaps(formats, questions, got), claims_, got).collect()}
+    assert classes == {"f": "mixed_mapping_and_evidence_gaps", "h": "no_evidence"}
+
+
+def test_abstentions_are_no_answers(spark):
+    claims_ = spark.createDataFrame([("f", "q1", "yes"), ("f", "q2", "unknown"), ("g", "q1", "yes"), ("g", "q2", "no")], "canonical_id string, field string, value string")
+    fields = spark.createDataFrame([("q1", "q1"), ("q2", "q2")], "question_id string, field string")
+    answers = spark.createDataFrame([(q, a, p, a == "unknown") for q in ("q1", "q2") for a, p in (("yes", 2.0), ("no", 1.0), ("unknown", 9.0))], "question_id string, answer_id string, points double, abstention boolean")
+    questions = spark.createDataFrame([("q1", 1.0, True), ("q2", 1.0, False)], "question_id string, weight double, critical boolean")
+    formats = spark.createDataFrame([("f",), ("g",)], "canonical_id string")
+    got = evidence.derive_answers(claims_, fields, answers)
+    score = {r["canonical_id"]: tuple(r)[1:] for r in evidence.score(formats, questions, got, 0.75).collect()}
+    assert score == {"f": (2.0, 1, 0.5, "Partially Assessed", "insufficient_evidence_completeness"), "g": (3.0, 2, 1.0, "Assessed", None)}
+    critical = questions.withColumn("critical", F.lit(True))
+    assert {r["suppressed_reason"] for r in evidence.score(formats.where("canonical_id = 'f'"), critical, got).collect()} == {"critical_abstention"}
+    assert {r["suppressed_reason"] for r in evidence.score(formats, questions, got, banding=False).collect()} == {"framework_not_calibrated"}
 
 
 def test_resolution_tiers(spark):
@@ -159,9 +182,16 @@ def test_resolution_tiers(spark):
 
 
 def test_actions_and_profiles(spark):
-    rows = [("f", 1, 0, "replace", "a"), ("f", 2, 1, "replace", "b"), ("f", 3, 0, "supplement", "c"), ("f", 4, 0, "supplement", "d"), ("f", 5, 0, "suppress", "d"), ("g", 6, 1, "replace", "a"), ("g", 7, 1, "replace", "b")]
-    got = {tuple(r) for r in policy.action_policies(spark.createDataFrame(rows, "canonical_id string, policy_id int, specificity int, mode string, action string")).collect()}
-    assert got == {("f", "b", False), ("f", "c", False), ("g", None, True)}
+    schema = "canonical_id string, policy_id string, specificity int, mode string, actions array<string>, suppresses array<string>"
+    rows = [
+        ("f", "a1", 0, "replace", ["a"], []), ("f", "a2", 1, "replace", ["b"], []), ("f", "s1", 0, "supplement", ["c", "b"], []), ("f", "s2", 0, "supplement", ["d"], []), ("f", "s3", 0, "supplement", [], ["s2"]),
+        ("g", "r1", 1, "replace", ["a"], []), ("g", "r2", 1, "replace", ["b"], []), ("h", "t1", 0, "supplement", ["x"], None), ("h", "t2", 0, "supplement", ["y"], None),
+    ]
+    policies, pairs = spark.createDataFrame(rows, schema), spark.createDataFrame([("y", "x")], "action_a string, action_b string")
+    outcome = {r["policy_id"]: r["outcome"] for r in policy.policy_outcomes(policies).collect()}
+    assert outcome == {"a1": "less_specific", "a2": "applied", "s1": "applied", "s2": "explicitly_suppressed", "s3": "applied", "r1": "less_specific", "r2": "applied", "t1": "applied", "t2": "applied"}
+    got = {tuple(r) for r in policy.action_policies(policies, pairs).collect()}
+    assert got == {("f", "b", ""), ("f", "c", ""), ("g", None, "same_specificity_replace_conflict"), ("h", None, "conflicting_actions")}
     df = policy.assign_profiles(spark.createDataFrame([("an xml log",), ("nothing",), (None,)], "t string"), [{"id": "p"}, {"id": "x", "inherits": "p", "terms": ["XML"]}, {"id": "z", "fallback": True, "terms": ["o"]}], "t")
     assert [r["profiles"] for r in df.collect()] == [["p", "x"], ["z"], []]
 
@@ -233,3 +263,43 @@ def test_alias_components_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError, match="did not settle"):
         graph.alias_components(pairs, turns=1)
     assert {r["component"] for r in graph.alias_components(pairs).collect()} == {"n0"}
+
+
+def test_posture_follows_the_matrix(spark):
+    cells = [("Low", "Covered", "Low"), ("Low", "Uncovered", "Moderate"), ("Moderate", "Uncovered", "High"), ("Moderate", "Unknown", "Needs Assessment"), ("High", "Covered", "High"), (None, "Covered", "Needs Assessment"), ("Low", None, "Needs Assessment"), ("odd", "Covered", "Needs Assessment"), ("High", "odd", "High"), ("Low", "odd", "Needs Assessment")]
+    df = spark.createDataFrame(cells, "band string, ready string, want string")
+    assert df.where(policy.posture(F.col("band"), F.col("ready")) != F.col("want")).count() == 0
+    with pytest.raises(ValueError):
+        policy.check_matrix(policy.POSTURE_MATRIX | {"Moderate": {policy.ANY_READINESS: "Low"}})
+    with pytest.raises(ValueError):
+        policy.check_matrix({k: v for k, v in policy.POSTURE_MATRIX.items() if k != "High"})
+    rows = spark.createDataFrame([("a", "High", "Low"), ("b", "Needs Assessment", "High"), ("c", "Low", "High"), ("d", "Moderate", None)], "canonical_id string, posture string, exposure string")
+    assert [r["canonical_id"] for r in policy.triage_order(rows).collect()] == ["b", "a", "d", "c"]
+
+
+@pytest.mark.parametrize("stale, refresh", [([], "none"), (["policy"], "rerun_action_resolution_only"), (["analysis"], "rerun_analysis_and_action_resolution"), (["evidence"], "rebuild_evidence_pack_and_rerun_analysis"), (["evidence", "policy"], "full_refresh")])
+def test_currency(spark, stale, refresh):
+    parts = ("evidence", "analysis", "policy")
+    c = policy.currency({p: F.lit("x") for p in parts}, {p: F.lit("y" if p in stale else "x") for p in parts})
+    got = spark.range(1).select(c.alias("c")).first()["c"]
+    assert (got["stale_reason"], got["minimum_refresh"], got["recommendation_status"]) == (stale, refresh, "stale" if stale else "current")
+
+
+def test_mapping_status_phrases(spark):
+    rows = [(["a", "b"], "x", None, "direct_multiple_review"), (["a"], "fmt/1", "Not  exactly the same", "direct_single_review"), (["a"], "fmt/1", "fine", "direct_single_candidate"), ([], None, "PRONOM does not have an entry", "no_mapping"), ([], "See notes", None, "contextual_only"), ([], "see related x", None, "contextual_only"), ([], None, "a remark", "contextual_only"), ([], None, " ", "unmapped")]
+    df = spark.createDataFrame(rows, "ids array<string>, raw string, note string, want string")
+    from archivum.operators import crosswalk
+
+    assert df.where(crosswalk.mapping_status(F.col("ids"), F.col("raw"), F.col("note")) != F.col("want")).count() == 0
+
+
+def test_reference_numbers_beyond_a_thousand(spark):
+    got = {r["n"]: r["reference"] for r in search.references(spark.range(1, 1004).select(F.lit(1).alias("p"), F.col("id").alias("n")), ["p"], [F.col("n")]).collect()}
+    assert (got[1], got[999], got[1000], got[1003]) == ("E001", "E999", "E1000", "E1003")
+
+
+def test_places_in_a_global_order(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x"))
+    got = {r["x"]: r["place"] for r in search.places(df, [F.col("x").desc()]).collect()}
+    assert [got[x] for x in sorted(got, reverse=True)] == list(range(1, 1001))
+    assert search.places(df.limit(0), [F.col("x")]).count() == 0
