@@ -1,22 +1,24 @@
 """Texts into containers of fixed capacity, in tokens of a public tokenizer.
 
 Bulk-synchronous best fit.  Texts are tokenized once; a text above the capacity
-is cut into full pieces and a rest, every other text stays whole.  Pieces are
-range-sorted by size, and from then on only sizes matter: equal pieces and equal
-gaps are interchangeable, so both sorted lists are kept run-length encoded, as
-(size, count) and (gap, count).  A round sweeps the pieces of a size band,
-largest first, over the gaps: each takes the successor of its size among the
-gaps that no larger piece took (ranks within a run settle who takes which), gaps
-are updated, and the sweep is repeated until no piece of the band fits; what is
-left opens containers.  Then the next smaller band follows.  The result of the
-rounds says, for each run of ranks within a size, which containers it goes to
-and at which offset; pieces look that up by their rank.
-
-Scale: the runs are bounded by the capacity, not by the number of texts, so the
-rounds cost the same for a thousand texts or for ten billion.  Texts move in one
-range shuffle of (id, size), in which a size that holds a third of all texts
-spreads over partitions by id; ranks within a size are sums of per-partition
-counts, never a window over one size.
+is cut into full pieces and a rest, every other text stays whole.  Texts are
+spread over shards of about ``SHARD_TEXTS`` by a hash of their row, so each shard
+has the same mix of sizes.  In a superstep every shard works on its own, on the
+executors: its pieces are sorted by size and its gaps by room, both kept run-length
+encoded, and a band of sizes after the other is swept over the gaps, largest first.
+Each piece takes the successor of its size among the gaps that no larger piece
+took (ranks within a run settle who takes which), gaps are updated, and the sweep
+is repeated until no piece of the band fits; what is left opens containers.
+
+A shard settles its well-filled containers.  Its ``AGAIN`` least-filled ones it
+opens again; their pieces go, with those of ``FAN`` neighbouring shards, to a shard
+of the next superstep, and so on until one shard is left, which settles all.
+
+Scale: a task holds one shard's (row, size) pairs or ``FAN`` times ``AGAIN``
+containers; the runs it sweeps are bounded by the sizes and gaps there are, at most
+some times the capacity.  Texts move in one shuffle of (id, size); what goes on to
+the next superstep is a vanishing part.  Nothing is broadcast, and the driver sees
+one number per shard, how many containers it filled.
 
 Edge cases (tested): null and empty texts have no tokens and take no place
 (container -1, offset 0); a text of exactly the capacity fills a container;
@@ -34,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivum.session import Scratch, collect_bounded, table
@@ -46,6 +48,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same split for the standard library's engine; letters are word characters that are no digits.
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+""")
 _REMEMBER = 400_000
+#: Texts of a shard, shards that are merged in the next superstep, and containers a shard opens again (if filled less than this).
+SHARD_TEXTS = 200_000
+FAN, AGAIN, FILLED = 32, 8, 0.999
 
 
 @lru_cache(maxsize=2)
@@ -176,91 +181,81 @@ def plan_rounds(sizes: dict[int, int], capacity: int) -> list[tuple[int, int, in
     return out
 
 
-def _locate(slots):
-    """Container and offset of a piece from its size and rank."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_size = slots.value
-        for b in batches:
-            size, rank = b["size"].to_numpy(), b["rank"].to_numpy()
-            box, offset = np.full(len(b), -1, dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-            for s in np.unique(size):
-                if s == 0:
-                    continue
-                first, count, container, off = by_size[int(s)]
-                at = np.flatnonzero(size == s)
-                k = np.searchsorted(first, rank[at], side="right") - 1
-                box[at], offset[at] = container[k] + rank[at] - first[k], off[k]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "size": size, "n_full": b["n_full"], "container": box, "offset": offset})
+def _shard(capacity: int, last: bool):
+    """Pack one shard's rests; containers are numbered from 0, those to be opened again get -1."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        size = rows["size"].to_numpy(dtype=np.int64)
+        order = np.lexsort((rows["row"].to_numpy(), size))
+        kinds, first, counts = np.unique(size[order], return_index=True, return_counts=True)
+        placed = plan_rounds({int(s): int(n) for s, n in zip(kinds, counts) if s > 0}, capacity)
+        box, offset = np.full(len(size), -1, dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        begin = dict(zip(kinds.tolist(), first.tolist()))
+        for s, rank, n, container, off in placed:
+            at = order[begin[s] + rank : begin[s] + rank + n]
+            box[at], offset[at] = np.arange(container, container + n), off
+        again = np.zeros(len(size), dtype=bool)
+        held = box >= 0
+        if held.any():
+            filled = np.bincount(box[held], weights=size[held])
+            number = np.arange(len(filled))
+            if not last:
+                least = np.argsort(filled, kind="stable")[:AGAIN]
+                open_ = np.zeros(len(filled), dtype=bool)
+                open_[least[filled[least] < FILLED * capacity]] = True
+                again[held] = open_[box[held]]
+                number = np.where(open_, -1, np.cumsum(~open_) - 1)
+            box[held] = number[box[held]]
+        full = rows["n_full"].to_numpy(dtype=np.int64)
+        start = int(box.max(initial=-1)) + 1 + np.cumsum(full) - full
+        return pd.DataFrame({"doc_id": rows["doc_id"], "row": rows["row"], "shard": rows["shard"], "size": size, "n_full": full, "box": box, "offset": offset, "full_box": start, "again": again})
 
     return run
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number the rows of each size within a partition sorted by size."""
-    last, seen = None, 0
-    for b in batches:
-        size = b["size"].to_numpy()
-        if not len(size):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1]]))
-        local = np.arange(len(size)) - np.repeat(starts, np.diff(np.append(starts, len(size))))
-        if last is not None and size[0] == last:
-            local[: starts[1] if len(starts) > 1 else len(size)] += seen
-        last, seen = size[-1], local[-1] + 1
-        yield b.assign(local=local.astype(np.int64))
-
-
-def pack(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, counts: DataFrame | None = None) -> DataFrame:
+def pack(documents: DataFrame, capacity: int, vocabulary: str = VOCABULARY, counts: DataFrame | None = None, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(doc_id, piece, n_tokens, container, offset) for every piece of every text."""
     if capacity < 1:
         raise ValueError("a container takes at least one token")
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(documents.sparkSession, "packing")
     sized = (counts if counts is not None else token_counts(documents, vocabulary)).select(
         "doc_id", F.monotonically_increasing_id().alias("row"),
         F.floor(F.col("n_tokens") / capacity).cast("bigint").alias("n_full"), (F.col("n_tokens") % capacity).alias("size"),
     )
-    # A text of exactly k capacities has no rest: its size is 0 and its full pieces take whole containers.
-    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sized = scratch.save(sized, "sized")
-    kind = dict(documents.dtypes)["doc_id"] if counts is None else dict(counts.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, row bigint, n_full bigint, size bigint, pid int"
-    ordered = sized.repartitionByRange(parts, "size", "doc_id", "row").sortWithinPartitions("size", "doc_id", "row").withColumn("pid", F.spark_partition_id())
-    ordered = scratch.save(ordered.mapInPandas(_numbered, schema + ", local bigint"), "ordered")
-    # Runs of the sorted list: at most capacity sizes, each in a few partitions.
-    runs = ordered.groupBy("size", "pid").agg(F.count("*").alias("n"), F.sum("n_full").alias("full"))
-    runs = [tuple(r) for r in collect_bounded(runs, capacity + parts + 1, "the run-length encoded sizes")]
-    sizes: dict[int, int] = {}
-    starts = []
-    for size, pid, n, full in sorted(runs):
-        starts.append((size, pid, sizes.get(size, 0)))
-        sizes[size] = sizes.get(size, 0) + n
-    sizes.pop(0, None)
-    placed = plan_rounds(sizes, capacity)
-    containers = max((c + n for _, _, n, c, _ in placed), default=0)
-    by_size: dict[int, list] = {}
-    for s, first, n, c, off in placed:
-        by_size.setdefault(s, []).append((first, n, c, off))
-    slots = spark.sparkContext.broadcast({s: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(v))) for s, v in by_size.items()})
-    offsets = spark.createDataFrame(starts, "size bigint, pid int, start bigint") if starts else spark.createDataFrame([], "size bigint, pid int, start bigint")
-    ranked = ordered.join(offsets, ["size", "pid"]).select("doc_id", "row", "size", "n_full", (F.col("local") + F.col("start")).alias("rank"))
-    rest = ranked.mapInPandas(_locate(slots), f"doc_id {kind}, row bigint, size bigint, n_full bigint, container bigint, offset bigint")
-    # Full pieces: numbered by partition sums, like the ranks, after the containers that share pieces.
-    full = ordered.where("n_full > 0").select("doc_id", "row", "n_full")
-    w = Window.partitionBy("salt").orderBy("row")
-    salted = full.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    sums = {r[0]: r[1] for r in salted.groupBy("salt").agg(F.sum("n_full")).collect()}
-    base, at = [], containers
-    for salt in sorted(sums):
-        base.append((salt, at))
-        at += sums[salt]
-    bases = spark.createDataFrame(base, "salt int, base bigint")
-    whole = salted.withColumn("before", F.coalesce(F.sum("n_full").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(bases, "salt")
-    whole = whole.select("doc_id", F.posexplode(F.sequence(F.col("base") + F.col("before"), F.col("base") + F.col("before") + F.col("n_full") - 1)).alias("piece", "container"))
-    whole = whole.select("doc_id", "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), "container", F.lit(0).cast("bigint").alias("offset"))
-    rest = rest.where("size > 0 or n_full = 0").select("doc_id", F.col("n_full").cast("int").alias("piece"), F.col("size").alias("n_tokens"), "container", "offset")
-    return rest.unionByName(whole)
+    kind = dict(sized.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, row bigint, shard bigint, size bigint, n_full bigint, box bigint, offset bigint, full_box bigint, again boolean"
+    # Two shards at the least, so that every size of input takes the same path.
+    shards = max(2, -(-sized.count() // shard_texts))
+    todo = sized.where("size > 0 or n_full > 0").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    settled, base, level = [], 0, 0
+    while True:
+        last = shards == 1
+        done = scratch.save(todo.groupBy("shard").applyInPandas(_shard(capacity, last), schema), f"step{level}")
+        # One row per shard: how many containers it settled.
+        most = F.greatest(F.max("box") + 1, F.max(F.col("full_box") + F.col("n_full")))
+        starts = []
+        for shard, n in sorted((r["shard"], r["n"]) for r in done.groupBy("shard").agg(most.alias("n")).collect()):
+            starts.append((shard, base))
+            base += n
+        offsets = documents.sparkSession.createDataFrame(starts, "shard bigint, base bigint")
+        settled.append(done.join(offsets, "shard"))
+        if last:
+            break
+        shards, level = -(-shards // FAN), level + 1
+        # Full pieces are settled; only the rests of containers opened again go on.
+        todo = done.where("again").select("doc_id", "row", F.floor(F.col("shard") / FAN).alias("shard"), "size", F.lit(0).cast("bigint").alias("n_full"))
+    pieces = None
+    for n, part in enumerate(settled):
+        whole = part.where("n_full > 0").select("doc_id", F.posexplode(F.sequence(F.col("base") + F.col("full_box"), F.col("base") + F.col("full_box") + F.col("n_full") - 1)).alias("piece", "container"))
+        whole = whole.select("doc_id", "piece", F.lit(capacity).cast("bigint").alias("n_tokens"), "container", F.lit(0).cast("bigint").alias("offset"))
+        rest = part.where("size > 0 and not again").select("doc_id", "row", F.col("size").alias("n_tokens"), (F.col("base") + F.col("box")).alias("container"), "offset")
+        # A rest is the piece after its text's full ones, which were settled in the first step.
+        rest = rest.join(settled[0].select("row", "n_full"), "row") if n else part.where("size > 0 and not again").select("doc_id", "row", F.col("size").alias("n_tokens"), (F.col("base") + F.col("box")).alias("container"), "offset", "n_full")
+        rest = rest.select("doc_id", F.col("n_full").cast("int").alias("piece"), "n_tokens", "container", "offset")
+        pieces = whole.unionByName(rest) if pieces is None else pieces.unionByName(rest)
+    empty = sized.where("size = 0 and n_full = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("n_tokens"), F.lit(-1).cast("bigint").alias("container"), F.lit(0).cast("bigint").alias("offset"))
+    return pieces.unionByName(empty)
 
 
 def _capacity(spark, sf_dir: str, budget: str) -> int:
@@ -268,7 +263,7 @@ def _capacity(spark, sf_dir: str, budget: str) -> int:
 
 
 def p8_pack(spark, sf_dir):
-    """Every text's container and offset for the standard budget."""
+    """Every piece of every text with its container and offset, for the standard budget."""
     return pack(table(spark, sf_dir, "documents"), _capacity(spark, sf_dir, "standard"))
 
 

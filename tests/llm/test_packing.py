@@ -52,6 +52,17 @@ def test_containers_hold_and_are_full(spark, seed, capacity):
     assert least <= used <= one_by_one(sizes, capacity) * 1.02 + 1
 
 
+def test_many_shards_are_merged_over_several_steps(spark, monkeypatch):
+    monkeypatch.setattr(P, "FAN", 3)
+    rng = random.Random(9)
+    sizes = {n: rng.choice([0, 64, 200, 130, rng.randrange(1, 64)]) for n in range(1500)}
+    counts = spark.createDataFrame(list(sizes.items()), "doc_id bigint, n_tokens bigint")
+    rows = P.pack(counts, 64, counts=counts, shard_texts=150).collect()
+    used, least = check(rows, sizes, 64)
+    assert least <= used <= one_by_one(sizes, 64) * 1.02 + 1
+    assert {r["container"] for r in rows} - {-1} == set(range(used))
+
+
 def test_tokens_equal_the_tokenizer(spark):
     texts = ["Hello  world's it's 12,000 x_y\n\n  end ", "Größe №5 ½ ² Ⅷ é 日本語 🙂", "a\x1cb\x85c\xa0d", "", None, "x" * 3000, "​　 q"]
     enc = P._encoding(P.VOCABULARY)
