@@ -5,9 +5,9 @@ fit the target type go to the typed column, everything else (unknown fields,
 values of another type, payloads that are no object) is kept as JSON in
 ``_rescued``.  Later, ``promote`` turns a rescued field into a typed column and
 ``replay`` converts rescued values of approved fields (``replay_fields``: all at once), both without reading the
-files again.  What became of each header (its field, its type, typed or rescued)
-is kept per row in ``_seen``, and ``changes`` reports drift from that column of
-the ingested table, without looking at the payloads again.
+files again.  What each header was (its field, its type) is kept per row in
+``_seen``, and which were typed in ``_typed``; ``changes`` reports drift from
+the first of the ingested table, without looking at the payloads again.
 
 Scale: mapping, casting, promoting and replaying are row-wise.  Rows delivered
 twice are found by one shuffle by (file, row); a report does not need that, as
@@ -91,31 +91,36 @@ def each_row_once(rows: DataFrame, payload: str = "payload") -> DataFrame:
 def ingest(rows: DataFrame, field_map: DataFrame, schema: dict[str, str], payload: str = "payload", once: bool = True) -> DataFrame:
     """Enforce ``schema``; what does not fit is preserved in ``_rescued`` (a JSON object of header to value).
 
-    ``_seen`` lists the headers of the row: logical field, header key, type of the value, whether it went to its typed column.
+    ``_seen`` lists the headers of the row (logical field, header key, type of the value, header), ``_typed`` those whose value went to a typed column.
     """
     df = with_fields(each_row_once(rows, payload) if once else rows, field_map, payload)
 
+    # The kind a field should have is looked up once per header, not tried field by field.
+    kinds = F.create_map(*[F.lit(x) for kv in schema.items() for x in kv]) if schema else F.create_map(F.lit(""), F.lit(""))
+
     def fits(x: Column) -> Column:
-        ok = F.lit(False)
-        for field, kind in schema.items():
-            cast = F.expr("true") if kind == "string" else as_kind(x["value"], kind).isNotNull()
-            ok = ok | ((x["field"] == field) & (x["type"] == F.lit("string" if kind == "string" else x["type"])) & cast) if kind == "string" else ok | ((x["field"] == field) & ~x["type"].isin("array", "object", "string") & cast)
+        kind, scalar = F.element_at(kinds, x["field"]), ~x["type"].isin("array", "object", "string")
+        ok = (kind == "string") & (x["type"] == "string")
+        for other in sorted(set(schema.values()) - {"string"}):
+            ok = ok | (kind == other) & scalar & as_kind(x["value"], other).isNotNull()
         return ok
 
-    def ranked(field: str) -> Column:
-        mine = F.filter("__f", lambda x: (x["field"] == field) & fits(x))
-        return F.array_sort(F.transform(mine, lambda x: F.struct(x["pref"].alias("pref"), x["key"].alias("key"), x["header"].alias("header"), F.variant_get(x["value"], "$", "string").alias("text"))))
+    fitting = F.transform(F.filter("__f", fits), lambda x: F.struct(x["field"].alias("field"), x["pref"].alias("pref"), x["key"].alias("key"), x["header"].alias("header"), F.variant_get(x["value"], "$", "string").alias("text")))
+    out = df.withColumn("__s", F.array_sort(fitting))
+
+    def first(field: str) -> Column:
+        return F.get(F.filter("__s", lambda x: x["field"] == field), F.lit(0))
 
-    out = df
     for field in schema:
-        out = out.withColumn(f"__{field}", F.get(ranked(field), F.lit(0)))
-    used = F.array_compact(F.array(*[F.col(f"__{f}.header") for f in schema])) if schema else F.array().cast("array<string>")
+        out = out.withColumn(f"__{field}", first(field))
+    taken = F.array_compact(F.array(*[F.col(f"__{f}.header") for f in schema])) if schema else F.array().cast("array<string>")
+    out, used = out.withColumn("__used", taken), F.col("__used")
     rest = F.filter("__f", lambda x: ~F.array_contains(used, x["header"]) & x["type"].isNotNull())
     rescued = F.when(F.col("__f").isNull(), F.when(F.col(payload).isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col(payload))))).when(
         F.size(rest) > 0, F.to_json(F.map_from_entries(F.transform(rest, lambda x: F.struct(x["header"], x["value"]))))
     )
-    seen = F.transform("__f", lambda x: F.struct(x["field"].alias("field"), x["key"].alias("key"), x["type"].alias("type"), F.array_contains(used, x["header"]).alias("typed")))
-    return out.select(*[c for c in rows.columns if c != payload], *[F.col(f"__{f}.text").try_cast(k).alias(f) for f, k in schema.items()], rescued.alias("_rescued"), seen.alias("_seen"))
+    seen = F.transform("__f", lambda x: F.struct(x["field"].alias("field"), x["key"].alias("key"), x["type"].alias("type"), x["header"].alias("header")))
+    return out.select(*[c for c in rows.columns if c != payload], *[F.col(f"__{f}.text").try_cast(k).alias(f) for f, k in schema.items()], rescued.alias("_rescued"), seen.alias("_seen"), used.alias("_typed"))
 
 
 def _rescued_map() -> Column:
@@ -204,12 +209,12 @@ def p2_found(spark, sf_dir):
 def p2_table(spark, sf_dir):
     """The one table of all rows: rescued values of all approved fields replayed, two new fields promoted."""
     fields = table(spark, sf_dir, "field_map")
-    df = replay_fields(ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA), fields, POLICY_SCHEMA).drop("_seen")
+    df = replay_fields(ingest(table(spark, sf_dir, "policy_file_row"), fields, POLICY_SCHEMA), fields, POLICY_SCHEMA).drop("_seen", "_typed")
     return promote(promote(df, "Audit Year", "audit_year", "int"), "Encrypted", "encrypted", "boolean")
 
 
 def p2_rescued(spark, sf_dir):
     """For each file and field how many rows have it, and how many of them kept it as rescued JSON on ingestion."""
     ingested = ingest(table(spark, sf_dir, "policy_file_row"), table(spark, sf_dir, "field_map"), POLICY_SCHEMA)
-    seen = ingested.select("file_id", F.explode("_seen").alias("f")).where("f.type is not null")
-    return seen.groupBy("file_id", F.col("f.field").alias("field_name")).agg(F.count("*").alias("n_values"), F.count_if(~F.col("f.typed")).alias("n_rescued"))
+    seen = ingested.select("file_id", "_typed", F.explode("_seen").alias("f")).where("f.type is not null")
+    return seen.groupBy("file_id", F.col("f.field").alias("field_name")).agg(F.count("*").alias("n_values"), F.count_if(~F.array_contains("_typed", F.col("f.header"))).alias("n_rescued"))
