@@ -29,8 +29,8 @@ def edges_by_copied_ids(copied: DataFrame, owners: DataFrame) -> DataFrame:
     return per.join(many, "source_record_id").select("canonical_id", "source_record_id", F.when(F.col("many"), "multi_target_record").otherwise("exact_copied_identifier").alias("relationship"), "copied_identifiers")
 
 
-def alias_components(pairs: DataFrame, turns: int = MAX_TURNS) -> DataFrame:
-    """(node, component): the smallest node reached over pairs (a, b).
+def alias_components(pairs: DataFrame, turns: int = MAX_TURNS, prefer: str | None = None) -> DataFrame:
+    """(node, component): the smallest node reached over pairs (a, b), of those that begin with ``prefer`` if there are any.
 
     Large-star and small-star steps in turn: neighbours move to the smallest node
     seen, in a logarithmic number of turns, each a grouped minimum and a join.
@@ -38,6 +38,9 @@ def alias_components(pairs: DataFrame, turns: int = MAX_TURNS) -> DataFrame:
     scratch = Scratch(pairs.sparkSession, "aliases")
     edges = pairs.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = scratch.save(edges, "t0")
+    # A sum over all edges instead of a comparison of both tables; minima only ever fall, so equal sums mean equal edges.
+    checksum = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+    before = checksum(edges)
     for turn in range(1, turns + 1):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -45,14 +48,30 @@ def alias_components(pairs: DataFrame, turns: int = MAX_TURNS) -> DataFrame:
         up = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(up, "b").select(F.col("m").alias("a"), "b").unionByName(large.join(up, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         new = scratch.save(small, f"t{turn}")
-        done = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        now = checksum(new)
         edges = new
-        if done:
+        if turn > 1:
+            scratch.drop(f"t{turn - 1}")
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("the components did not settle")
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    stars = stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    if prefer is None:
+        return stars
+    named = stars.groupBy("component").agg(F.min(F.struct((~F.col("node").startswith(prefer)).alias("x"), "node"))["node"].alias("named"))
+    return stars.join(named, "component").select("node", F.col("named").alias("component"))
+
+
+def coverage_by_component(components: DataFrame, claims: DataFrame) -> DataFrame:
+    """(component, criterion_id, n_claims, n_sources): claims counted for all aliases of a format together.
+
+    claims: canonical_id, criterion_id, source_id; formats without aliases are their own component.
+    """
+    mine = claims.join(components.select(F.col("node").alias("canonical_id"), "component"), "canonical_id", "left").withColumn("component", F.coalesce("component", "canonical_id"))
+    return mine.groupBy("component", "criterion_id").agg(F.count("*").alias("n_claims"), F.count_distinct("source_id").alias("n_sources"))
 
 
 def claim_turnover(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ the only one and names do not contradict.  Aliases are followed exactly one hop.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,10 @@ def group_keys(records: DataFrame, claims: DataFrame) -> DataFrame:
 def weak_aliases(keyed: DataFrame, claims: DataFrame) -> DataFrame:
     """(g, target): groups that share name and extensions with exactly one strong group, over two sources or more."""
     unverified = claims.where(~F.col("verified") & F.col("kind").isin(*STRONG_KINDS)).select("src_ord").distinct().withColumn("u", F.lit(True))
-    per = keyed.where("weak is not null").join(unverified, "src_ord", "left").groupBy("weak", "g").agg(F.min("g_kind").alias("k"), F.collect_set("source_id").alias("sources"))
+    per = keyed.where("weak is not null").join(unverified, "src_ord", "left").groupBy("weak", "g").agg(F.min("g_kind").alias("k"))
+    spread = keyed.where("weak is not null").groupBy("weak").agg(F.count_distinct("source_id").alias("n_sources"))
     strong = F.when(F.col("k").isin(*STRONG_KINDS), F.col("g"))
-    about = per.groupBy("weak").agg(F.count("*").alias("n"), F.count(strong).alias("n_strong"), F.max(strong).alias("target"), F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("n_sources"))
+    about = per.groupBy("weak").agg(F.count("*").alias("n"), F.count(strong).alias("n_strong"), F.max(strong).alias("target")).join(spread, "weak")
     hit = per.join(about.where("n > 1 and n_strong = 1 and n_sources > 1").select("weak", "target"), "weak").where("g != target").select("g", "target")
     # A group with a copied id is left to the rule for copied ids.
     copied = keyed.join(unverified, "src_ord", "left_semi").select("g").distinct()
@@ -77,8 +80,21 @@ def claimed_aliases(keyed: DataFrame, claims: DataFrame) -> DataFrame:
     return both.where(agree).select(best["g"], best["target"])
 
 
+class Reconciled(NamedTuple):
+    """Formats as one row each; what belongs to them as rows of their own, so no format is ever gathered."""
+
+    formats: DataFrame
+    members: DataFrame
+    identifiers: DataFrame
+
+
 def reconcile(records: DataFrame) -> DataFrame:
-    """(canonical_id, preferred_name, category, n_records, n_sources, source_records, identifiers...) of all identity records."""
+    """(canonical_id, preferred_name, category, n_records, n_sources) of all identity records."""
+    return reconciled(records).formats
+
+
+def reconciled(records: DataFrame) -> Reconciled:
+    """Formats (canonical_id, preferred_name, category, n_records, n_sources), members (canonical_id, src_ord, source_id, source_record_id) and identifiers (canonical_id, kind, value)."""
     scratch = Scratch(records.sparkSession, "reconcile")
     base = records.where("record_role is null or record_role != 'evidence_only'")
     # Both are read several times below; written once they are not worked out again.
@@ -92,13 +108,11 @@ def reconcile(records: DataFrame) -> DataFrame:
     kind = F.substring_index("final", ":", 1)
     value = F.expr("substring(final, length(substring_index(final, ':', 1)) + 2)")
     first = lambda c: F.min_by(F.col(c), F.when(F.nullif(F.trim(F.col(c)), F.lit("")).isNotNull(), F.struct((~own).alias("x"), F.col("src_ord").alias("y"))))
-    folded = grouped.groupBy("final").agg(
-        first("name").alias("preferred_name"), first("category").alias("category"), F.count("*").alias("n_records"), F.count_distinct("source_id").alias("n_sources"),
-        F.array_sort(F.collect_set(F.concat_ws(":", "source_id", "source_record_id"))).alias("source_records"),
-    )
-    ids = claims.where(F.col("verified") | ~F.col("kind").isin(*STRONG_KINDS)).join(grouped.select("src_ord", "final"), "src_ord").groupBy("final", "kind").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    nested = ids.groupBy("final").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "values")))).alias("identifiers"))
-    return folded.join(nested, "final", "left").select(canonical_id(kind, value, F.col("preferred_name")).alias("canonical_id"), "preferred_name", "category", "n_records", "n_sources", "source_records", "identifiers")
+    folded = grouped.groupBy("final").agg(first("name").alias("preferred_name"), first("category").alias("category"), F.count("*").alias("n_records"), F.count_distinct("source_id").alias("n_sources"))
+    folded = scratch.save(folded.withColumn("canonical_id", canonical_id(kind, value, F.col("preferred_name"))), "folded")
+    members = grouped.join(folded.select("final", "canonical_id"), "final").select("canonical_id", "src_ord", "source_id", "source_record_id")
+    ids = claims.where(F.col("verified") | ~F.col("kind").isin(*STRONG_KINDS)).join(members.select("src_ord", "canonical_id"), "src_ord").select("canonical_id", "kind", "value").distinct()
+    return Reconciled(folded.select("canonical_id", "preferred_name", "category", "n_records", "n_sources"), members, ids)
 
 
 def collisions(ids: DataFrame) -> DataFrame:

@@ -81,6 +81,16 @@ def reconciled(t):
     return reconcile.reconcile(_current_records(t)).select("canonical_id", "n_records", "n_sources")
 
 
+@query(
+    "a1_members",
+    f"""with {_LAST}, r as (select distinct r.* from source_record r join last using (snapshot_id) where coalesce(record_role, '') <> 'evidence_only')
+    select source_id, count(*) as n from r group by 1""",
+)
+def members(t):
+    """Every record belongs to one format."""
+    return reconcile.reconciled(_current_records(t)).members.groupBy("source_id").agg(F.count_distinct("src_ord").alias("n"))
+
+
 @query("a2_identifier_claims", f"""with {_LAST}, r as (select distinct r.* from source_record r join last using (snapshot_id))
   select src_ord, 'mime' as kind, {strip('lower(v)')} as value from r, unnest(mime_types) as u(v) where {strip('lower(v)')} <> ''
   union select src_ord, 'extension', regexp_replace(regexp_replace({strip('lower(v)')}, '^\\.+', ''), '\\s+', '', 'g') as x from r, unnest(extensions) as u(v) where x <> ''""")
@@ -208,6 +218,16 @@ def _versions(t):
     return side("first_id"), side("last_id")
 
 
+
+@query("a17_alias_coverage", f"""with recursive {_IDS}, own as (select canonical_id, value from ids where kind = 'puid'),
+  pr as (select distinct a.canonical_id as a, b.canonical_id as b from own a join own b using (value) where a.canonical_id <> b.canonical_id), re(a, b) as (select a, b from pr union select re.a, pr.b from re join pr on pr.a = re.b),
+  comp as (select a as node, min(least(a, b)) as component from re group by 1), q as (select distinct response_id, canonical_id, question_id, institution_id from question_response where canonical_id is not null)
+  select coalesce(component, canonical_id) as component, question_id as criterion_id, count(*) as n_claims, count(distinct institution_id) as n_sources from q left join comp on node = canonical_id group by all""")
+def alias_coverage(t):
+    rows = t.question_response.where("canonical_id is not null").select("response_id", "canonical_id", F.col("question_id").alias("criterion_id"), F.col("institution_id").alias("source_id")).distinct()
+    return graph.coverage_by_component(components(t), rows)
+
+
 @query("j8_u2_version_sets", f"with {_VERS} select coalesce(b.canonical_id, n.canonical_id) as canonical_id, case when b.canonical_id is null then 'added' when n.canonical_id is null then 'removed' else 'retained' end as side from (select distinct canonical_id from b) b full outer join (select distinct canonical_id from n) n using (canonical_id)")
 def version_sets(t):
     return claims.version_sets(*_versions(t))

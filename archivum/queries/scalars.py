@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from archivum.functions import normalize as N
+from archivum.functions import documents, normalize as N
 from archivum.functions.text import fold
 from archivum.operators import evidence, rules
 from archivum.queries.base import fold as sql_fold, query, slug, strip, words
@@ -95,6 +95,17 @@ def field_paths(t):
     return t.policy_file_row.distinct().select("file_id", keys.alias("path")).groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("file_id").alias("n_files"))
 
 
+@query(
+    "fn_nested_paths",
+    """with d as (select distinct file_id, row_no, payload from policy_file_row where payload is not null), k as (select distinct file_id, row_no, payload, key from d, json_each(payload)),
+    p as (select 'file' as path from d union all select 'file.id' from d union all select 'file.row' from d union all select 'file.row.' || key from k)
+    select path, count(*) as n from p group by 1""",
+)
+def nested_paths(t):
+    doc = F.concat(F.lit('{"file": {"id": "'), "file_id", F.lit('", "row": '), "payload", F.lit("}}"))
+    return t.policy_file_row.distinct().select(F.explode(documents.field_paths(doc)).alias("path")).groupBy("path").agg(F.count("*").alias("n"))
+
+
 @query("fn_stable_hashes", "select run_id, sha256(coalesce(run_id, '') || '|' || coalesce(institution_id, '') || '|' || coalesce(as_of_day, '') || '|' || coalesce(cast(finished_at as varchar), '')) as stable_id from registry_run")
 def stable_hashes(t):
     return t.registry_run.select("run_id", N.stable_hash(F.col("run_id"), F.col("institution_id"), F.col("as_of_day"), F.col("finished_at")).alias("stable_id"))

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch tables and size-checked broadcasts.
+"""Session settings, shared scratch tables and bounded reference lists.
 
 Everything that has to outlive a stage is written to the folder the cluster
 names in ``spark.checkpoint.dir``.  That folder is shared by all executors, so
@@ -17,10 +17,6 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest serialised side that any operator here hands to every executor.
-BROADCAST_LIMIT_BYTES = 64 << 20
-
-
 def build_session(app: str = "archivum", master: str | None = None, shuffle_partitions: int = 8) -> SparkSession:
     """A session with the settings the operators assume (UTC, AQE, map keys last-wins)."""
     builder = SparkSession.builder.appName(app)

@@ -8,7 +8,9 @@ are read where they lie and the driver sees none of them.
 from __future__ import annotations
 
 import io
+import json
 import re
+import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -67,6 +69,48 @@ def parse_files(spark: SparkSession, path: str, suffixes: tuple[str, ...], parse
     return files.mapInPandas(run, schema)
 
 
+def _fault(name: str, data: bytes) -> str | None:
+    """Why a file cannot be read as what its suffix says, or None."""
+    low = name.lower()
+    try:
+        if low.endswith((".json", ".jsonl")):
+            text = data.decode("utf-8-sig")
+            for part in text.splitlines() if low.endswith(".jsonl") else [text]:
+                if part.strip():
+                    json.loads(part)
+        elif low.endswith(".xml"):
+            ET.fromstring(data)
+        elif low.endswith((".csv", ".md", ".txt")):
+            data.decode("utf-8-sig")
+        elif low.endswith((".xlsx", ".zip")):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                bad = z.testzip()
+                return f"damaged member {bad}" if bad else None
+    except (ValueError, ET.ParseError, zipfile.BadZipFile) as e:
+        return f"{type(e).__name__}: {e}"[:500]
+    return None
+
+
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, reason) of every file and archive member under ``path`` that cannot be read; the adapters leave these out."""
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for uri, content in zip(b["path"], b["content"]):
+                name = uri.rsplit("/", 1)[-1]
+                if fault := _fault(name, content):
+                    rows.append((uri, "", fault))
+                elif content[:4] == b"PK\x03\x04" and not name.lower().endswith(".xlsx"):
+                    rows += [(uri, m, fault) for m, data in members(uri, content, ("",)) if (fault := _fault(m, data))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "member", "reason"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, member string, reason string")
+
+
 def front_matter(text: str) -> tuple[dict[str, str | list[str]], str]:
     """(header, body) of a text that begins with a block between ``---`` lines: key: value, and - items."""
     m = re.match(r"\A﻿?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)(.*)\Z", text, re.S)

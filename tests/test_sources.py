@@ -159,3 +159,19 @@ def test_registry_exports_bridges_and_releases(spark, tmp_path):
     assert len(json.loads(rows(adapters.read(spark, "institution_evidence_csv", path, "e"))["1"]["native"])["evidence"]) == 2
     rel = spark.createDataFrame([("v1", "2024-01-01", "p1"), ("v2", "2024-02-01", "p2")], "release string, released_on string, path string")
     assert [adapters.select_release(rel, *a).first()["path"] for a in ((), ("v1",), ("v1", "v2"), ("v9",))] == ["p2", "p1", "p2", "p2"]
+
+
+def test_unreadable_files_are_listed(spark, tmp_path):
+    import io
+    import zipfile
+
+    from archivum.sources import files
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("in.json", "{bad")
+        z.writestr("ok.xml", "<a/>")
+    for name, data in {"a.json": b"{", "b.json": b'{"x": 1}', "c.xml": b"<a>", "d.csv": b"\xff\xfe\x00", "e.xlsx": b"PK\x03\x04broken", "f.zip": box.getvalue(), "g.jsonl": b'{"a": 1}\n\n{"b": 2}\n'}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {(r["path"].rsplit("/", 1)[-1], r["member"]) for r in files.rejects(spark, str(tmp_path)).collect()}
+    assert got == {("a.json", ""), ("c.xml", ""), ("d.csv", ""), ("e.xlsx", ""), ("f.zip", "in.json")}
