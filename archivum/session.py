@@ -153,7 +153,7 @@ def collect_bounded(df: DataFrame, limit_rows: int, what: str) -> list:
     """Rows of a reference list whose size must be bounded; a larger one is an error, not a truncation."""
     rows = df.limit(limit_rows + 1).collect()
     if len(rows) > limit_rows:
-        raise ValueError(f"{what} has more than {limit_rows} rows; use the distributed path")
+        raise ValueError(f"{what} has more than {limit_rows} rows, the bound up to which it is sent to every task")
     return rows
 
 
