@@ -4,10 +4,10 @@ Each record of a content is a pair (key hash, row hash).  Its hash bucket and
 ``HASHES`` cells of that bucket take part in sums: count, key, row and a checksum,
 each hash in halves of 32 bits, so that sums are exact and a cell of n equal
 pairs gives the pair back by division.  Of the records only the two hashes are
-placed by bucket, where repeated ones fall together; each task sums up whole
-buckets, and what is moved between the contents is cells.  The tables of two
-contents are subtracted cell by cell; equal records cancel, and the rest is
-peeled.  A bucket whose cells do not come
+placed by source and bucket, where repeated ones fall together; each task sums up
+the tables of its buckets, those of the earlier content with a minus.  So equal
+records cancel before anything else is moved, and what is shuffled and peeled is
+the cells that are left.  A bucket whose cells do not come
 out empty, or whose digest (an independent sum over the whole bucket) differs
 from that of the recovered pairs, is built again with ``GROWTH`` times the cells
 and other hash functions, until none is left; a bucket that has as many cells as
@@ -15,8 +15,8 @@ records can always be peeled, so that ends.  Recovered keys are looked up in the
 records of both contents, which verifies them, drops what was only repeated in
 one of them and gives the ids; keys that both hold with other rows are changed.
 
-The number of cells follows the expected difference: it is measured on one hash
-bucket in ``PROBE`` of the records, exactly, before the tables are laid out.
+The number of cells of a step follows its expected difference: it is measured on
+one hash class in ``PROBE`` of the records before the tables are laid out.
 
 Hot groups: a source with a third of all rows is cut into hash buckets like any
 other; a peeling task holds one bucket's cells.  The number of buckets follows
@@ -64,12 +64,12 @@ def contents(snapshots: DataFrame) -> DataFrame:
 
 
 def record_pairs(records: DataFrame) -> DataFrame:
-    """(content, key, kh, rh) of every delivered row."""
+    """(content, place, key, kh, rh) of every delivered row; ``place`` only says what is kept together."""
     key = F.lower(strip(F.coalesce(F.col("source_record_id"), F.lit(""))))
     as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))))
     texts = [fold(F.col(c)) for c in ("name", "category", "format_version")]
     digest = F.xxhash64(*[x for t in texts for x in (F.length(t), t)], *[x for c in ("extensions", "mime_types") for x in (F.size(as_set(c)), F.array_join(as_set(c), "\x1f", "\x1e"))])
-    return records.select(F.col("snapshot_id").alias("content"), key.alias("key"), digest.alias("rh")).withColumn("kh", F.xxhash64("key"))
+    return records.select(F.col("snapshot_id").alias("content"), F.col("source_id").alias("place"), key.alias("key"), digest.alias("rh")).withColumn("kh", F.xxhash64("key"))
 
 
 # --- hashing, the same for whole columns and single pairs -------------------------
@@ -94,9 +94,9 @@ def _high(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.int64)
 
 
-def _places(k: np.ndarray, r: np.ndarray, n_cells: int, turn: int) -> list[np.ndarray]:
-    part = n_cells // HASHES
-    return [(j * part + (mixed(k, r, 100 * turn + 10 + j) % np.uint64(part)).astype(np.int64)) for j in range(HASHES)]
+def _places(k: np.ndarray, r: np.ndarray, n_cells: np.ndarray | int, turn: int) -> list[np.ndarray]:
+    part = np.asarray(n_cells // HASHES, dtype=np.int64)
+    return [j * part + (mixed(k, r, 100 * turn + 10 + j) % part.astype(np.uint64)).astype(np.int64) for j in range(HASHES)]
 
 
 def _weights(k: np.ndarray, r: np.ndarray, seed: int) -> np.ndarray:
@@ -109,40 +109,42 @@ _SUMS = ["n", "kh1", "kh2", "rh1", "rh2", "c1", "c2"]
 _CHECK, _DIGEST = 1, 2
 
 
-def _tables(n_cells: int, turn: int, buckets: int):
-    """Sums per (content, bucket, cell) of the rows a task reads; cell -1 holds the digest of the bucket."""
+def _tables(turn: int):
+    """Signed sums per (before, content, bucket, cell) of the rows a task reads, without those that are 0; cell -1 holds the digest of the bucket."""
+    key = ["before", "content", "bucket", "cell"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
 
         def summed() -> pd.DataFrame:
-            return pd.concat(held).groupby(["content", "bucket", "cell"], sort=False, as_index=False).sum()
+            out = pd.concat(held).groupby(key, sort=False, as_index=False).sum()
+            return out[(out[_SUMS] != 0).any(axis=1)]
 
         for b in batches:
             if b.empty:
                 continue
-            k, r = b["kh"].to_numpy(dtype=np.int64), b["rh"].to_numpy(dtype=np.int64)
-            content, bucket = b["content"].to_numpy(), b["bucket"].to_numpy()
-            cells = [*_places(k, r, n_cells, turn), np.full(len(k), -1, dtype=np.int64)]
-            sums = np.concatenate([*[_weights(k, r, _CHECK)] * HASHES, _weights(k, r, _DIGEST)])
-            part = pd.DataFrame({"content": np.tile(content, HASHES + 1), "bucket": np.tile(bucket, HASHES + 1), "cell": np.concatenate(cells)} | {c: sums[:, n] for n, c in enumerate(_SUMS)})
-            held.append(part.groupby(["content", "bucket", "cell"], sort=False, as_index=False).sum())
-            size += len(held[-1])
-            if len(held) >= 16:
+            k, r, sign = b["kh"].to_numpy(dtype=np.int64), b["rh"].to_numpy(dtype=np.int64), b["sign"].to_numpy(dtype=np.int64)[:, None]
+            cells = [*_places(k, r, b["n_cells"].to_numpy(dtype=np.int64), turn), np.full(len(k), -1, dtype=np.int64)]
+            sums = np.concatenate([*[_weights(k, r, _CHECK) * sign] * HASHES, _weights(k, r, _DIGEST) * sign])
+            part = pd.DataFrame({c: np.tile(b[c].to_numpy(), HASHES + 1) for c in key[:3]} | {"cell": np.concatenate(cells)} | {c: sums[:, n] for n, c in enumerate(_SUMS)})
+            held.append(part)
+            size += len(part)
+            if size >= _HELD:
                 held = [summed()]
                 size = len(held[0])
-            if size >= _HELD:
-                yield summed()
-                held, size = [], 0
+                # Half full of what does not cancel: it is passed on, as sums can be summed up again.
+                if size >= _HELD // 2:
+                    yield held[0]
+                    held, size = [], 0
         if held:
             yield summed()
 
     return run
 
 
-def _peel(n_cells: int, turn: int):
-    def one(cell: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _peel(turn: int):
+    def one(n_cells: int, cell: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """The pairs in one bucket's difference and their counts, or None if it cannot be peeled to its digest."""
         table, digest = np.zeros((n_cells, len(_SUMS)), dtype=np.int64), np.zeros(len(_SUMS), dtype=np.int64)
         for c, row in zip(cell, sums):
@@ -187,8 +189,8 @@ def _peel(n_cells: int, turn: int):
         columns = ["before", "content", "bucket", "kh", "failed"]
         for b in batches:
             out = []
-            for before, content, bucket, cell, *sums in zip(b["before"], b["content"], b["bucket"], b["cell"], *[b[c] for c in _SUMS]):
-                got = one(np.asarray(cell, dtype=np.int64), np.stack([np.asarray(x, dtype=np.int64) for x in sums], axis=1))
+            for before, content, bucket, n_cells, cell, *sums in zip(b["before"], b["content"], b["bucket"], b["n_cells"], b["cell"], *[b[c] for c in _SUMS]):
+                got = one(int(n_cells), np.asarray(cell, dtype=np.int64), np.stack([np.asarray(x, dtype=np.int64) for x in sums], axis=1))
                 if got is None:
                     out.append(pd.DataFrame([(before, content, bucket, 0, True)], columns=columns))
                 elif len(got[0]):
@@ -199,12 +201,13 @@ def _peel(n_cells: int, turn: int):
     return run
 
 
-def _expected(pairs: DataFrame, steps: DataFrame, buckets: int, probe: int) -> int:
-    """Differing pairs of the fullest bucket to be expected: all keys of one hash class in ``probe`` are compared directly."""
+def _expected(pairs: DataFrame, steps: DataFrame, buckets: int, probe: int) -> DataFrame:
+    """(before, content, n_cells) of each step: the keys of one hash class in ``probe`` are compared directly."""
     some = pairs.where(F.pmod(F.xxhash64("kh", F.lit(11)), F.lit(probe)) == 0).select(F.col("content").alias("c"), "kh", "rh")
     by = some.join(_sides(steps), "c").groupBy("before", "content", "kh", "rh").agg(F.sum("sign").alias("n")).where("n != 0")
-    most = by.groupBy("before", "content").count().agg(F.max("count")).first()[0] or 0
-    return -(-(most + 2) * probe // buckets)
+    found = by.groupBy("before", "content").count()
+    cells = F.greatest(F.lit(FEWEST_CELLS), F.ceil((F.coalesce("count", F.lit(0)) + 2) * (probe * CELLS_A_PAIR / buckets)))
+    return steps.join(found, ["before", "content"], "left").select("before", "content", (F.ceil(cells / HASHES) * HASHES).cast("int").alias("n_cells"))
 
 
 def _sides(steps: DataFrame) -> DataFrame:
@@ -216,39 +219,36 @@ def _sides(steps: DataFrame) -> DataFrame:
 def differing_keys(pairs: DataFrame, steps: DataFrame, scratch: Scratch, first_cells: int | None = None, bucket_rows: int = BUCKET_ROWS, probe: int = PROBE) -> DataFrame:
     """(before, content, kh) for every key with a pair in only one of the two contents of a step, and for some that are repeated.
 
-    ``pairs``: (content, kh, rh).  ``steps``: distinct (before, content), before and content non-null and different.
+    ``pairs``: (place, content, kh, rh).  ``steps``: distinct (before, content), before and content non-null and different.
     """
     kind = dict(steps.dtypes)["content"]
     largest = pairs.groupBy("content").count().agg(F.max("count")).first()[0] or 0
     buckets = max(1, -(-largest // bucket_rows))
-    placed = pairs.select("content", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket"), "kh", "rh")
-    # The same placing serves to drop repeated pairs, and every task then has whole buckets.
-    todo = scratch.save(placed.repartition("content", "bucket").dropDuplicates(["content", "bucket", "kh", "rh"]), "hashed")
-    wanted = first_cells or max(FEWEST_CELLS, int(_expected(todo, steps, buckets, probe) * CELLS_A_PAIR))
-    n_cells, turn, failed, done = -(-wanted // HASHES) * HASHES, 0, None, []
-    sides = _sides(steps)
+    placed = pairs.select("place", "content", F.pmod(F.xxhash64("kh", F.lit(3)), F.lit(buckets)).cast("int").alias("bucket"), "kh", "rh")
+    # The same placing serves to drop repeated pairs, and brings the contents of a step together.
+    todo = scratch.save(placed.repartition("place", "bucket").dropDuplicates(["place", "content", "bucket", "kh", "rh"]), "hashed").withColumnRenamed("content", "c")
+    sized = _expected(todo.withColumnRenamed("c", "content"), steps, buckets, probe) if first_cells is None else steps.withColumn("n_cells", F.lit(-(-first_cells // HASHES) * HASHES))
+    sized = scratch.save(sized, "sized")
+    turn, failed, done = 0, None, []
     while True:
-        if failed is None:
-            now, on = todo, sides
-        else:
-            on = failed.join(sides, ["before", "content"])
-            need = on.select(F.col("c").alias("content"), "bucket").distinct()
-            now = todo.join(need, ["content", "bucket"], "left_semi")
-        sums = now.mapInPandas(_tables(n_cells, turn, buckets), f"content {kind}, bucket int, cell int, " + ", ".join(f"{c} bigint" for c in _SUMS)).withColumnRenamed("content", "c")
-        # A table takes part in at most a few steps; its cells are signed and subtracted in one shuffle.
-        signed = sums.join(on, ["c"] if failed is None else ["c", "bucket"])
-        diff = signed.groupBy("before", "content", "bucket", "cell").agg(*[F.sum(F.col(c) * F.col("sign")).alias(c) for c in _SUMS])
+        sides = _sides(steps).join(sized, ["before", "content"]).withColumn("n_cells", (F.col("n_cells") * GROWTH**turn).cast("int"))
+        if failed is not None:
+            sides = sides.join(failed, ["before", "content"])
+        signed = todo.join(sides, ["c"] if failed is None else ["c", "bucket"]).select("before", "content", "bucket", "sign", "n_cells", "kh", "rh")
+        sums = signed.mapInPandas(_tables(turn), f"before {kind}, content {kind}, bucket int, cell int, " + ", ".join(f"{c} bigint" for c in _SUMS))
+        diff = sums.groupBy("before", "content", "bucket", "cell").agg(*[F.sum(c).alias(c) for c in _SUMS])
         # Cells that came out empty are not needed to peel.
         live = diff.where(" or ".join(f"{c} != 0" for c in _SUMS))
-        tables = live.groupBy("before", "content", "bucket").agg(F.collect_list(F.struct("cell", *_SUMS)).alias("x")).select("before", "content", "bucket", "x.cell", *[f"x.{c}" for c in _SUMS])
-        got = scratch.save(tables.mapInPandas(_peel(n_cells, turn), f"before {kind}, content {kind}, bucket int, kh bigint, failed boolean"), f"peeled{turn}")
+        tables = live.groupBy("before", "content", "bucket").agg(F.collect_list(F.struct("cell", *_SUMS)).alias("x")).join(sides.select("before", "content", "n_cells").distinct(), ["before", "content"])
+        tables = tables.select("before", "content", "bucket", "n_cells", "x.cell", *[f"x.{c}" for c in _SUMS])
+        got = scratch.save(tables.mapInPandas(_peel(turn), f"before {kind}, content {kind}, bucket int, kh bigint, failed boolean"), f"peeled{turn}")
         done.append(got.where("not failed").select("before", "content", "kh"))
         failed = got.where("failed").select("before", "content", "bucket")
         if failed.isEmpty():
             break
-        turn, n_cells = turn + 1, n_cells * GROWTH
+        turn += 1
         if turn > MOST_TURNS:
-            raise RuntimeError(f"tables of {n_cells} cells for {bucket_rows} rows cannot be peeled")
+            raise RuntimeError(f"tables for {bucket_rows} rows cannot be peeled in {turn} turns")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -263,7 +263,7 @@ def snapshot_changes(records: DataFrame, snapshots: DataFrame, **sizes) -> DataF
     moved = seq.where("before is not null and before != content")
     steps = moved.select("before", "content").distinct()
     pairs = record_pairs(records)
-    keys = scratch.save(differing_keys(pairs.select("content", "kh", "rh"), steps, scratch, **sizes), "keys")
+    keys = scratch.save(differing_keys(pairs.select("place", "content", "kh", "rh"), steps, scratch, **sizes), "keys")
     # The records of the keys that were found, in both contents of their step: verified, classified, and their ids.
     sides = keys.select("before", F.col("content").alias("after"), "kh", F.explode(F.array(F.col("content"), F.col("before"))).alias("content"))
     held = sides.join(pairs, ["content", "kh"]).groupBy("before", "after", "content", "key").agg(F.max("rh").alias("rh"))
