@@ -22,8 +22,9 @@ VERIFIED_FROM = {
 LEVEL_RANK = {"minimal": 0, "low": 1, "moderate": 2, "high": 3, "critical": 4}
 #: Rank of a scope, 0 being most specific (fixed values); what is not listed ranks 5.
 SCOPE_RANK = {"exact_format": 0, "format_version": 0, "institutional_format": 0, "format_family": 1, "format_group": 2, "content_type": 3, "contextual": 4}
+#: Words of names that stand for more than one version (fixed values).
 BROAD_MARKERS = ("family", "generic", "unspecified", "all versions", "multiple versions")
-#: Version tokens in names: dotted numbers, year letters, profile parts such as a-1b, year ranges.
+#: Version tokens in names: dotted numbers, year letters, profile parts such as a-1b, year ranges (a fixed value).
 VERSION_TOKEN = r"(?i)\b(\d+\.\d+(?:\.\d+)?|\d{2,4}[a-z]|(?:pdf|iso)?/?[a-z]-\d+[a-z]?|\d{2,4}-\d{2,4})\b"
 
 

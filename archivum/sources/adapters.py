@@ -15,10 +15,11 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivum.functions.normalize import native_band, split_multi
+from archivum.operators.search import places
 from archivum.sources.files import front_matter, parse_files
 
 SCHEMA = "source_record_id string, name string, category string, description string, version string, extensions array<string>, mime_types array<string>, puids array<string>, loc_ids array<string>, nara_ids array<string>, wikidata_ids array<string>, record_role string, native string"
@@ -237,25 +238,26 @@ def header_row(rows: list[list[str]], wanted: set[str], within: int = 30) -> int
     return -best[1] if best[0] >= 2 else None
 
 
+#: The headers (letters and digits, folded) that stand for each field; a site gives its own to ``institution_sheets``.
 INSTITUTION_FIELDS = {"institution_format_id": ("localnumber", "localcode", "recordno", "formatid", "id"), "name": ("formattitle", "formatname", "kindofobject", "name", "title"), "extensions": ("suffixes", "extensions", "fileextension", "filesuffixes"),
                       "local_risk_level": ("levelofrisk", "localrisk", "risklevel", "riskrating"), "local_preservation_action": ("agreedaction", "preservationaction", "preservationstep", "treatment"), "local_preservation_plan": ("preservationplan", "plan"),
                       "local_preferred_tools": ("software", "preferredsoftware", "preferredtools", "tools")}
 
 
-def _institution_xlsx(name: str, data: bytes) -> Iterator[dict]:
+def _institution_xlsx(name: str, data: bytes, fields: dict[str, tuple[str, ...]] = INSTITUTION_FIELDS) -> Iterator[dict]:
     rows = list(xlsx_rows(data))
-    start = header_row(rows, {k for keys in INSTITUTION_FIELDS.values() for k in keys})
+    start = header_row(rows, {k for keys in fields.values() for k in keys})
     if start is None:
         return
     head = [_key(c) for c in rows[start]]
-    at = {f: next((head.index(k) for k in keys if k in head), None) for f, keys in INSTITUTION_FIELDS.items()}
+    at = {f: next((head.index(k) for k in keys if k in head), None) for f, keys in fields.items()}
     for n, r in enumerate(rows[start + 1 :], start + 2):
         get = lambda f: (r[at[f]].strip() or None) if at[f] is not None and at[f] < len(r) else None
         title = get("name")
         # Rules and totals between the rows are no formats.
         if not title or not re.search(r"[^\W\d_]{2}", title):
             continue
-        policy = {f: get(f) for f in INSTITUTION_FIELDS if f.startswith(("local", "institution"))} | {"source_file": name.rsplit("/", 1)[-1], "source_row": n}
+        policy = {f: get(f) for f in fields if f.startswith(("local", "institution"))} | {"source_file": name.rsplit("/", 1)[-1], "source_row": n}
         yield _row(source_record_id=get("institution_format_id") or f"row-{n}", name=title, extensions=_list(get("extensions")), native=json.dumps({"institution_policy": policy}, sort_keys=True))
 
 
@@ -379,7 +381,19 @@ def read(spark: SparkSession, kind: str, path: str, source_id: str) -> DataFrame
     return df
 
 
+def institution_sheets(spark: SparkSession, path: str, source_id: str, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Records of an institution's spreadsheets whose headers stand for ``fields`` (header keys in order of preference)."""
+    df = parse_files(spark, path, (".xlsx",), lambda name, data: _institution_xlsx(name, data, fields), SCHEMA)
+    return df.withColumns({"source_id": F.lit(source_id), "source_type": F.lit("institution_xlsx")})
+
+
 def ordered(records: DataFrame) -> DataFrame:
-    """Add ``src_ord``: a stable number by source and record.  One number per record of a source, so sources never collide."""
-    w = Window.partitionBy("source_id").orderBy("source_record_id", "name")
-    return records.withColumn("src_ord", F.concat_ws(":", "source_id", F.lpad(F.row_number().over(w).cast("string"), 12, "0")))
+    """Add ``src_ord``: a stable number by source and record.  One number per record of a source, so sources never collide.
+
+    Ranges of the order are numbered where they are, so a source with a third of all records is no task of its own.
+    """
+    placed = places(records, [F.col("source_id"), F.col("source_record_id"), F.col("name")])
+    first = placed.groupBy("source_id").agg(F.min("place").alias("__first"))
+    number = (F.col("place") - F.col("__first") + 1).cast("string")
+    out = placed.join(first.withColumnRenamed("source_id", "__source"), F.col("source_id").eqNullSafe(F.col("__source")))
+    return out.withColumn("src_ord", F.concat_ws(":", "source_id", F.lpad(number, 12, "0"))).select(*records.columns, "src_ord")

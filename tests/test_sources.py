@@ -175,3 +175,10 @@ def test_unreadable_files_are_listed(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {(r["path"].rsplit("/", 1)[-1], r["member"]) for r in files.rejects(spark, str(tmp_path)).collect()}
     assert got == {("a.json", ""), ("c.xml", ""), ("d.csv", ""), ("e.xlsx", ""), ("f.zip", "in.json")}
+
+
+def test_numbers_of_records_restart_with_each_source(spark):
+    rows = [(s, f"r{n:03d}", "x") for s in ("a", "b") for n in range(120)] + [("b", "r000", "w"), ("c", None, None)]
+    got = adapters.ordered(spark.createDataFrame(rows, "source_id string, source_record_id string, name string"))
+    by = {(r["source_id"], r["source_record_id"], r["name"]): r["src_ord"] for r in got.collect()}
+    assert by["a", "r000", "x"] == "a:000000000001" and by["a", "r119", "x"] == "a:000000000120" and by["b", "r000", "w"] == "b:000000000001" and by["b", "r001", "x"] == "b:000000000003" and by["c", None, None] == "c:000000000001"
